@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .html_extract import extract_main_text
+from .minhash import near_duplicates
 from .packing import pack
 from .secrets import scan_secrets
 from .toxicity import fit_toxicity, score_toxicity
@@ -26,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, fit_toxicity(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -40,7 +45,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op4_toxicity, op8_warc, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op4_toxicity, op7_minhash_forest, op8_warc, op9_packing, op10_secrets)}
 
 ORACLES = {
     "op2_decontaminate": r"""
