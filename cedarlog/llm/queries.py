@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .embedding_dedup import near_vectors
 from .html_extract import extract_main_text
 from .minhash import near_duplicates
 from .packing import pack
@@ -27,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, fit_toxicity(documents, table(spark, sf_dir, "labels")))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
@@ -45,7 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op4_toxicity, op7_minhash_forest, op8_warc, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op4_toxicity, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets)}
 
 ORACLES = {
     "op2_decontaminate": r"""
