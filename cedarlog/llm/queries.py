@@ -11,6 +11,7 @@ from .html_extract import extract_main_text
 from .minhash import near_duplicates
 from .packing import pack
 from .secrets import scan_secrets
+from .substring_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 from .warc import archive_pages
 
@@ -28,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, fit_toxicity(documents, table(spark, sf_dir, "labels")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +55,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op4_toxicity, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op4_toxicity, op5_substring_dedup, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets)}
 
 ORACLES = {
     "op2_decontaminate": r"""
