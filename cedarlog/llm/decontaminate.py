@@ -30,10 +30,18 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.groupBy(F.array_join("w", " ").alias("gram"), F.size("w").alias("len"), F.xxhash64("w").alias("h")).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents`` that are not contaminated, with all their columns. Rows are known by id and text, so rows
+    without an id and repeated rows are judged too, and alike. Only keys of contaminated rows are joined with texts."""
+    key = F.xxhash64("doc_id", "text")
+    found = contamination(documents.select("doc_id", "text"), benchmark, **options).filter("contaminated").select(F.col("key").alias("__key")).distinct()
+    return documents.withColumn("__key", key).join(found, "__key", "left_anti").drop("__key")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for each row of ``documents``.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, key) for each row of ``documents``.
 
-    spans: the merged hit word ranges (first, last; from 1). Null and empty texts have no words and are clean; null
+    spans: the merged hit word ranges (first, last; from 1). key: a hash of id and text. Null and empty texts have no words and are clean; null
     ids are kept; repeated rows give repeated results; an empty benchmark hits nothing; other columns are not read.
     The windows are counted before they are sent: up to ``set_bound`` of them are a set in every task, more are joined
     by hash. Both ways find the same hits, which are then compared word for word."""
@@ -41,7 +49,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     grams = benchmark_windows(benchmark, window).cache()
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # at most ``window`` numbers
     small = grams.count() <= set_bound
-    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc_id"), _words(F.col("text")).alias("words"))
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("key"), "doc_id", _words(F.col("text")).alias("words"))
     each = []
     for n in lengths:
         hashes = f"xxhash64(slice(words, i, {n}))"
@@ -58,16 +66,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         each.append(f"IF(size(words) < {n}, array(), transform({all_at}, i -> {spot}))")
     kind = "array<struct<pos:int,len:int,h:bigint,gram:string>>"
     found = f"CAST(concat({', '.join(each)}) AS {kind})" if each else f"CAST(array() AS {kind})"
-    scanned = docs.selectExpr("row", "doc_id", "CAST(size(words) AS bigint) AS n_words", f"{found} AS hits" if small or not each else f"{found} AS hits, words")
+    scanned = docs.selectExpr("row", "key", "doc_id", "CAST(size(words) AS bigint) AS n_words", f"{found} AS hits" if small or not each else f"{found} AS hits, words")
     if small:
-        hits = scanned.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.pos", "hit.len", "hit.gram")
+        hits = scanned.select("row", "key", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "key", "doc_id", "n_words", "hit.pos", "hit.len", "hit.gram")
         hits = hits.join(F.broadcast(grams.select("gram", "len", "items")), ["gram", "len"], "left")
     else:
         windows = scanned.select("row", F.explode("hits").alias("hit")).select("row", "hit.pos", "hit.len", "hit.h")
         near = windows.join(grams.select("h", "len").distinct(), ["h", "len"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "len")).alias("near"))
-        spots = docs.join(near, "row", "left").selectExpr("row", "doc_id", "CAST(size(words) AS bigint) AS n_words", "explode_outer(transform(near, x -> named_struct('pos', x.pos, 'len', x.len, 'gram', array_join(slice(words, x.pos, x.len), ' ')))) AS hit")
-        hits = spots.select("row", "doc_id", "n_words", "hit.pos", "hit.len", "hit.gram").join(grams.select("gram", "len", "items"), ["gram", "len"], "left")
-    by_doc = hits.groupBy("row", "doc_id", "n_words").agg(F.sort_array(F.collect_set(F.expr("IF(items IS NULL, NULL, named_struct('pos', pos, 'len', len))"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        spots = docs.join(near, "row", "left").selectExpr("row", "key", "doc_id", "CAST(size(words) AS bigint) AS n_words", "explode_outer(transform(near, x -> named_struct('pos', x.pos, 'len', x.len, 'gram', array_join(slice(words, x.pos, x.len), ' ')))) AS hit")
+        hits = spots.select("row", "key", "doc_id", "n_words", "hit.pos", "hit.len", "hit.gram").join(grams.select("gram", "len", "items"), ["gram", "len"], "left")
+    by_doc = hits.groupBy("row", "key", "doc_id", "n_words").agg(F.sort_array(F.collect_set(F.expr("IF(items IS NULL, NULL, named_struct('pos', pos, 'len', len))"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     folded = by_doc.withColumn(
         "spans",
         F.expr(
@@ -85,4 +93,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "spans",
+        "key",
     )

@@ -24,7 +24,7 @@ WINDOW = 2048
 END = 1
 OPEN = 64
 #: Tasks whose leftovers are merged together: at most OPEN * MERGED windows of WINDOW ids in one group.
-MERGED = 32
+MERGED = 8
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OPENED = PIECE + ", task int, ids binary"
 

@@ -8,6 +8,7 @@ from .common import table
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .html_extract import extract_main_text
+from .lm_score import score_texts
 from .minhash import near_duplicates
 from .packing import pack
 from .secrets import scan_secrets
@@ -21,7 +22,11 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "key")
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op4_toxicity, op5_substring_dedup, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_lm_score, op4_toxicity, op5_substring_dedup, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets)}
 
 ORACLES = {
     "op2_decontaminate": r"""

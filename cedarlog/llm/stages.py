@@ -1,3 +1,48 @@
 """The stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and returns a DataFrame."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+from .decontaminate import remove_contaminated
+from .minhash import near_duplicates
+from .packing import pack
+from .secrets import scan_secrets
+from .toxicity import fit_toxicity, remove_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on their labels, takes for toxic go."""
+    return remove_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that are linked by five-word shingles at 0.8 or more, the one of least id stays."""
+    gone = near_duplicates(docs, size=5, percent=80).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which at least a twentieth of the words are in benchmark windows go."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; confirmed secrets in their texts are replaced by a mark, and n_chars follows."""
+    scanned = scan_secrets(docs)
+    changed = {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_secrets") > 0, F.length("redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return scanned.withColumns(changed).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents in sequences of 2048: one row for each piece of a document."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packing)]

@@ -7,6 +7,8 @@ present slots' ratios, of which logistic regression weighs each one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -146,3 +148,15 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, folds: int = FOLD
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(f"coalesce(crc32(CAST(doc_id AS string)) % {folds} = 0, false)").alias("held_out"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInPandas(_score(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def remove_toxic(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` whose score is below ``threshold``, with all their columns."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = model.scorer()
+        for part in texts:
+            yield part.map(one, na_action=None).astype(float)
+
+    return documents.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
