@@ -21,7 +21,7 @@ SLOTS = 1 << 21
 #: Most labelled rows that the classifier is fitted on (those of least hash; all labelled rows if there are fewer).
 FIT_BOUND = 20_000
 #: A slot is used if that many fitting texts hold it and its ratio is this many standard errors from 0.
-LEAST_TEXTS, LEAST_Z = 4, 4.0
+LEAST_TEXTS, LEAST_Z = 4, 5.0
 FOLDS = 5
 
 
@@ -73,7 +73,7 @@ def _rows(sizes, slots, chosen: np.ndarray):
     return run
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, rounds: int = 300, l2: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, rounds: int = 200, l2: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and a bias, by full-batch Adam on the log loss."""
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     col = np.concatenate([*rows, np.empty(0, dtype="<i4")]).astype(np.int64)
