@@ -23,6 +23,8 @@ FOLDS = 10
 #: Bytes of text in a block, about.
 BLOCK = 32 << 20
 CHUNK = 1 << 21
+#: Bytes of text that are scored at a time.
+SCORED = 1 << 19
 END = b" "  # no word has a space
 
 
@@ -33,7 +35,7 @@ def _word_keys(words) -> np.ndarray:
 
 class _WordKeys(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         k = self[word] = (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
         return k
@@ -160,7 +162,7 @@ def _score(order: int, tokens: int, kinds: int):
         for text in docs["text"]:
             held.append(ppm.normalise(text))
             size += len(held[-1])
-            if size >= CHUNK:
+            if size >= SCORED:
                 flush()
                 size = 0
         if held:
