@@ -7,16 +7,11 @@ from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-LOG = T.StructType.fromDDL(
-    "trace_id string, seq bigint, method_key string, content string, level string, ts_ms bigint, thread_name string, logger_name string, throwable string, mdc map<string,string>"
-)
-CONTEXT = T.StructType.fromDDL("trace_id string, method_key string, mode string, min_level string, close_seq bigint, depth int, enabled boolean")
-AGGREGATED = T.StructType.fromDDL(
-    "trace_id string, batch_id bigint, flush_id string, content string, entry_count int, total_bytes bigint, max_level string, first_time timestamp, last_time timestamp, final_flush boolean"
-)
-DEGRADED = T.StructType.fromDDL("trace_id string, method_key string, reason string, storage string, ts_ms bigint, level string, content string")
+
+LOG = "trace_id string, seq bigint, method_key string, content string, level string, ts_ms bigint, thread_name string, logger_name string, throwable string, mdc map<string,string>"
+CONTEXT = "trace_id string, method_key string, mode string, min_level string, close_seq bigint, depth int, enabled boolean"
+AGGREGATED = "trace_id string, batch_id bigint, flush_id string, content string, entry_count int, total_bytes bigint, max_level string, first_time timestamp, last_time timestamp, final_flush boolean"
+DEGRADED = "trace_id string, method_key string, reason string, storage string, ts_ms bigint, level string, content string"
 
 #: Ranks of the level names.
 RANKS = {"FATAL": 5, "ERROR": 4, "WARN": 3, "INFO": 2, "DEBUG": 1, "TRACE": 0}
