@@ -66,7 +66,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         each.append(f"IF(size(words) < {n}, array(), transform({all_at}, i -> {spot}))")
     kind = "array<struct<pos:int,len:int,h:bigint,gram:string>>"
     found = f"CAST(concat({', '.join(each)}) AS {kind})" if each else f"CAST(array() AS {kind})"
-    scanned = docs.selectExpr("row", "key", "doc_id", "CAST(size(words) AS bigint) AS n_words", f"{found} AS hits" if small or not each else f"{found} AS hits, words")
+    scanned = docs.selectExpr("row", "key", "doc_id", "CAST(size(words) AS bigint) AS n_words", f"{found} AS hits")
     if small:
         hits = scanned.select("row", "key", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "key", "doc_id", "n_words", "hit.pos", "hit.len", "hit.gram")
         hits = hits.join(F.broadcast(grams.select("gram", "len", "items")), ["gram", "len"], "left")

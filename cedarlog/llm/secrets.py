@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Runs that may be secrets: a private key block, or 16 or more token characters with a digit and a letter among them.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_\-./+=@])(?=[A-Za-z_\-./+]*+[0-9])(?=[0-9_\-./+]*+[A-Za-z])[A-Za-z0-9_\-./+]{16,}+={0,2}(?![A-Za-z0-9_@])"
+    r"|(?<![A-Za-z0-9_\-./+@])(?=[A-Za-z_\-./+]*+[0-9])(?=[0-9_\-./+]*+[A-Za-z])[A-Za-z0-9_\-./+]{16,}+={0,2}(?![A-Za-z0-9_@])"
 )
 #: Words next to a candidate that speak for a secret, and words and shapes that speak against it.
 NAMES = r"(?i)(api[_\- ]?key|access[_\- ]?key|secret|token|passw(or)?d|pwd|credential|auth|bearer|private[_\- ]?key|client[_\- ]?secret)"
