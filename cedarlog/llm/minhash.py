@@ -20,6 +20,10 @@ from .common import LOWER_BYTES, connected_components, discard, materialize, mix
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 #: Most sets in a block of a region that is compared in full.
 BLOCK = 2048
+#: Standard errors by which a signature's estimate may be below the least similarity of a pair that is confirmed.
+MARGIN = 3.5
+#: Trees in which each set's best partner is looked for before whole regions are compared.
+FIRST_TREES = 4
 SIGNED = "doc_id long, n long, k1 long, k2 long, sig binary"
 
 _RANDOM = np.random.default_rng(20240229)
@@ -95,14 +99,15 @@ def _sets(size: int):
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            keep = [_similar(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), percent) for a, b in zip(batch["a"], batch["b"], strict=True)]
             yield batch.loc[np.array(keep, dtype=bool), ["u", "v"]]
 
     return run
@@ -118,35 +123,100 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int,
     return links
 
 
-def _across(percent: int):
-    """Pairs of a block pair whose components differ and whose signatures agree as similar sets' do."""
-    least = percent / 100 - 4.5 * np.sqrt(percent / 100 * (1 - percent / 100) / (TREES * DEPTH))
+BLOCK_KEY = ["tree", "region", "kind", "p", "q"]
+
+
+def _sides(block: pd.DataFrame):
+    """Rows of a block pair: (ids, components, signatures) of either side; a block that is paired with itself is both."""
+    block = block.drop_duplicates(["rep", "side"]).sort_values("rep")
+    for part in (block[block["side"] != 1], block[block["side"] != 0]):
+        sigs = np.stack([np.frombuffer(s, dtype=">u4").astype(np.uint32) for s in part["sig"]]) if len(part) else np.empty((0, TREES * DEPTH), dtype=np.uint32)
+        yield part["rep"].to_numpy(), part["comp"].to_numpy(), sigs
+
+
+def _least(percent: int) -> float:
+    """Equal minima below which a pair is not worth confirming."""
+    p = percent / 100
+    return TREES * DEPTH * (p - MARGIN * np.sqrt(p * (1 - p) / (TREES * DEPTH)))
+
+
+def _best(percent: int):
+    """Of each set of a block pair, the partner of another component whose signature agrees most."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates(["rep", "side"]).sort_values("rep")
-        left, right = block[block["side"] != 1], block[block["side"] != 0]
-        x = np.stack([np.frombuffer(s, dtype=">u4").astype(np.uint32) for s in left["sig"]]) if len(left) else np.empty((0, TREES * DEPTH))
-        y = np.stack([np.frombuffer(s, dtype=">u4").astype(np.uint32) for s in right["sig"]]) if len(right) else np.empty((0, TREES * DEPTH))
-        u, v = [], []
-        for i in range(len(x)):
-            same = np.flatnonzero((x[i] == y).mean(axis=1) >= least)
-            other = right["rep"].to_numpy()[same][right["comp"].to_numpy()[same] != left["comp"].iloc[i]]
-            me = left["rep"].iloc[i]
-            u += [max(me, o) for o in other]
-            v += [min(me, o) for o in other]
-        return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+        (mine, own, x), (theirs, foreign, y) = _sides(block)
+        out = []
+        top, at = np.zeros(len(y), dtype=np.int32), np.zeros(len(y), dtype=np.int64)
+        for i in range(len(x)) if len(y) else ():
+            same = np.where(foreign != own[i], (x[i] == y).sum(axis=1, dtype=np.int32), 0)
+            j = int(same.argmax())
+            out.append((mine[i], theirs[j], same[j]))
+            better = same > top
+            top[better], at[better] = same[better], mine[i]
+        out += zip(theirs, at, top, strict=True)
+        return pd.DataFrame([r for r in out if r[2] >= _least(percent)], columns=["u", "v", "near"]).astype({"u": "int64", "v": "int64", "near": "int32"})
 
     return run
 
 
-def _rest(trees: DataFrame, sigs: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) across components, from every region in which there is more than one component."""
-    comps = connected_components(links, "minhash-cc").select(F.col("node").alias("rep"), "component")
+def _candidates(percent: int):
+    """The sets of a block pair that may be similar to one of another component, with these partners' ids packed. A pair
+    counts in the first tree in which it shares a region, so in one block pair alone."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        (mine, own, x), (theirs, foreign, y) = _sides(block)
+        tree, width, twice = int(block["tree"].iloc[0]), LEAST_DEPTH, bool((block["side"] == 2).any())
+        partners, met = {}, set()
+        for i in range(len(x)) if len(y) else ():
+            j = np.flatnonzero((foreign != own[i]) & ((theirs > mine[i]) | (not twice)))
+            j = j[(x[i] == y[j]).sum(axis=1) >= _least(percent)]
+            for t in range(tree):
+                j = j[(x[i, t * DEPTH : t * DEPTH + width] != y[j, t * DEPTH : t * DEPTH + width]).any(axis=1)]
+            if len(j):
+                partners[int(mine[i])] = theirs[j].astype("<i8").tobytes()
+                met.update(theirs[j].tolist())
+        comps = dict(zip([*mine, *theirs], [*own, *foreign], strict=True))
+        rows = sorted(met | partners.keys())
+        out = pd.DataFrame({"rep": np.array(rows, dtype=np.int64), "comp": np.array([comps[r] for r in rows], dtype=np.int64), "partners": [partners.get(r, b"") for r in rows]})
+        return out.assign(**{k: block[k].iloc[0] for k in BLOCK_KEY})
+
+    return run
+
+
+def _linked(percent: int):
+    """Confirmed links of a block pair that join components; pairs that earlier links have joined need no look."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[int, list[np.ndarray]] = {}  # one set for each text of an id
+        for r, f in zip(block["rep"], block["found"], strict=True):
+            sets.setdefault(r, []).append(np.frombuffer(f, dtype=np.uint64))
+        comp = dict(zip(block["rep"], block["comp"], strict=True))
+        root = {c: c for c in comp.values()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for r, packed in zip(block["rep"], block["partners"], strict=True):
+            for other in np.frombuffer(packed, dtype="<i8").tolist():
+                a, b = find(comp[r]), find(comp[other])
+                if a != b and any(_similar(x, y, percent) for x in sets[r] for y in sets[other]):
+                    root[max(a, b)] = min(a, b)
+                    out.append((r, other))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _blocks(trees: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of every region of ``trees`` in which there is more than one component, dealt to pairs of blocks."""
     rows = trees.join(comps, "rep", "left").select("tree", F.substring("key", 1, 4 * LEAST_DEPTH).alias("region"), "rep", F.coalesce("component", "rep").alias("comp"))
     sizes = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("n"))
     regions = sizes.groupBy("tree", "region").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n")).filter("comps > 1")
     regions = regions.select("tree", "region", F.col("major.comp").alias("major"), F.ceil(F.col("major.n") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("major.n")) / BLOCK).cast("int").alias("minors"))
-    mixed = materialize(rows.join(regions, ["tree", "region"]), "minhash-mixed")
+    mixed = rows.join(regions, ["tree", "region"])
     # blocks: those of the largest component face all others'; the others also face each other, each pair of blocks once
     own = "pmod(xxhash64(rep), minors)"
     dealt = mixed.selectExpr(
@@ -155,8 +225,24 @@ def _rest(trees: DataFrame, sigs: DataFrame, links: DataFrame, percent: int) ->
         f" concat(transform(sequence(0, majors - 1), j -> struct(1 AS kind, {own} AS p, CAST(j AS bigint) AS q, 0 AS side)),"
         f" transform(sequence(0, minors - 1), j -> struct(2 AS kind, least({own}, j) AS p, greatest({own}, j) AS q, IF({own} = j, 2, IF({own} < j, 0, 1)) AS side))))) AS b",
     )
-    dealt = dealt.select("tree", "region", "rep", "comp", "b.*").join(sigs, "rep")
-    return dealt.groupBy("tree", "region", "kind", "p", "q").applyInPandas(_across(percent), "u long, v long").distinct()
+    return dealt.select("tree", "region", "rep", "comp", "b.*").join(sigs, "rep")
+
+
+def _best_pairs(trees: DataFrame, sigs: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Of each set that meets another component in a region of ``trees``, the two best partners: pairs (u, v)."""
+    found = _blocks(trees, sigs, comps).groupBy(*BLOCK_KEY).applyInPandas(_best(percent), "u long, v long, near int")
+    first = found.groupBy("u").agg(F.max(F.struct("near", "v")).alias("first"), F.max(F.struct("near", -F.col("v"))).alias("second"))
+    both = first.select("u", F.explode(F.array(F.col("first.v"), -F.col("second.col2"))).alias("v"))
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _rest(trees: DataFrame, sigs: DataFrame, comps: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) between components, from all regions of all trees; sets go to blocks, not to pairs."""
+    kept = "rep long, comp long, partners binary, tree int, region binary, kind int, p long, q long"
+    asked = materialize(_blocks(trees, sigs, comps).groupBy(*BLOCK_KEY).applyInPandas(_candidates(percent), kept), "minhash-asked")
+    ids = asked.select(F.col("rep").alias("doc_id")).distinct()
+    sets = documents.join(ids, "doc_id", "left_semi").mapInPandas(_sets(size), "rep long, found binary")
+    return materialize(asked.join(sets, "rep").groupBy(*BLOCK_KEY).applyInPandas(_linked(percent), "u long, v long"), "minhash-rest")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -174,8 +260,13 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     near = trees.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").mapInPandas(_neighbours, "u long, v long").filter("u > v")
     best = near.groupBy("u", "v").count().groupBy("u").agg(F.max(F.struct("count", -F.col("v"))).alias("b")).select("u", (-F.col("b.col2")).alias("v"))
     links = _confirmed(materialize(best, "minhash-best"), docs, size, percent, "minhash-first")
-    rest = _rest(trees, sigs, links, percent)
-    links = links.union(_confirmed(materialize(rest, "minhash-rest"), docs, size, percent, "minhash-second"))
+    comps = connected_components(links, "minhash-cc").select(F.col("node").alias("rep"), "component")
+    best = materialize(_best_pairs(trees.filter(F.col("tree") < FIRST_TREES), sigs, comps, percent), "minhash-best")
+    links = comps.select(F.col("rep").alias("u"), F.col("component").alias("v"))  # as stars, to which more links are added
+    if not best.isEmpty():
+        comps = connected_components(links.union(_confirmed(best, docs, size, percent, "minhash-second")), "minhash-cc").select(F.col("node").alias("rep"), "component")
+        links = comps.select(F.col("rep").alias("u"), F.col("component").alias("v"))
+    links = links.union(_rest(trees, sigs, comps, docs, size, percent))
     # rows of one doc_id with different texts are one node: an edge from each class that holds the id to the class's least id
     same = usable.groupBy("doc_id").agg(F.count_distinct("k1", "k2", "n").alias("sets")).filter("sets > 1").join(usable, "doc_id").join(classes.drop("sig"), ["k1", "k2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     comps = connected_components(links.union(same), "minhash-cc").select(F.col("node").alias("rep"), "component")

@@ -76,4 +76,38 @@ s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op5_substring_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, unnest(range(0, greatest(0, length(x) // 2 - 399))) AS i, unnest(list_transform(range(0, greatest(0, length(x) // 2 - 399)), lambda i: hash(substr(x, 2 * i + 1, 800)))) AS h FROM d),
+r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+o AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM o GROUP BY doc_id, g),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS was FROM s),
+a AS (SELECT k.doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "op6_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, p.w FROM r JOIN p ON r.w = p.u),
+c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u), n AS (SELECT u, count(*) AS n FROM p GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON v.vec_id = c.u LEFT JOIN n ON v.vec_id = n.u""",
+    "op7_minhash_forest": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, words[i] || ' ' || coalesce(words[i + 1], '') AS s FROM d, LATERAL (SELECT unnest(range(1, greatest(2, len(words)))) AS i) WHERE len(words) > 0),
+f AS (SELECT s, count(*) AS df FROM g GROUP BY s), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS k FROM g JOIN f USING (s) JOIN n USING (doc_id)),
+x AS (SELECT doc_id, s FROM o WHERE k <= n - (4 * n + 4) // 5 + 1),
+t AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS w FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id),
+i AS (SELECT u, w, count(*) AS same FROM t JOIN g a ON a.doc_id = u JOIN g b ON b.doc_id = w AND a.s = b.s GROUP BY u, w),
+l AS (SELECT u, w FROM i JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = w WHERE 100 * same >= 80 * (a.n + b.n - same)),
+e AS (SELECT u, w FROM l UNION ALL SELECT w, u FROM l),
+r AS (SELECT doc_id AS u, doc_id AS w FROM d UNION SELECT r.u, e.w FROM r JOIN e ON r.w = e.u),
+c AS (SELECT u AS doc_id, min(w) AS component_id FROM r GROUP BY u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, (k // 4) * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
 }
