@@ -601,6 +601,43 @@ def cfg_modes(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", resolve_mode(configured, F.when(F.col("event_id") % 2 == 0, "SINGLE").otherwise("AUTO")).alias("mode"))
 
 
+# ---- more of batching, status and MDC --------------------------------------------------------------------------------
+
+
+@query(f"WITH {LOGS}, b AS (SELECT *, (row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1) // 20 AS batch_id FROM logs) SELECT trace_id, CAST(batch_id AS BIGINT) AS batch_id, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, CAST(count(*) AS INT) AS entry_count FROM b GROUP BY 1, 2")
+def agg_time_bounds(spark, sf_dir):
+    df = _logs(spark, sf_dir).withColumns({"batch_id": batching.batches_by_count(20), "line": F.col("content"), "bytes": sizing.line_bytes(F.col("content"))})
+    return _batches(batching.finalise(df, by_time=True)).select("trace_id", "batch_id", "first_ms", "last_ms", "entry_count")
+
+
+@query(f"WITH {LOGS} SELECT trace_id, round(greatest(count(*) / 50.0, sum(2 * length(content)) / 2000.0), 6) AS utilization FROM logs GROUP BY 1")
+def agg_utilization(spark, sf_dir):
+    one = _logs(spark, sf_dir).groupBy("trace_id").agg(F.count("*").alias("n"), F.sum(sizing.line_bytes(F.col("content"))).alias("b"))
+    return one.select("trace_id", F.round(batching.utilization(F.col("n"), 50, F.col("b"), 2000), 6).alias("utilization"))
+
+
+@query(
+    f"""WITH {LOGS}, d AS (SELECT *, event_id % 40 = 0 AS drain FROM logs), g AS (SELECT *, sum(drain::INT) OVER (PARTITION BY trace_id ORDER BY seq) - drain::INT AS g FROM d),
+    k AS (SELECT *, sum((NOT drain)::INT) OVER (PARTITION BY trace_id, g ORDER BY seq) AS k FROM g)
+    SELECT trace_id, seq, CASE WHEN drain THEN 'drained' WHEN k <= 12 THEN 'offered' ELSE 'full' END AS fate, CAST(least(12, k) AS BIGINT) AS held FROM k"""
+)
+def agg_plain_buffer(spark, sf_dir):
+    df = _logs(spark, sf_dir).withColumn("bytes", F.when(F.col("seq") % 40 == 0, -1).otherwise(F.length("content")))
+    return batching.ordered_fold(df, ["trace_id"], ["seq"], ["bytes"], "fate string, held long", batching.drained(12)).select("trace_id", "seq", "fate", "held")
+
+
+@query(f"WITH {LOGS} SELECT level, to_json({{'n': count(*), 'chars': CAST(sum(length(content)) AS BIGINT), 'last': max(seq)}}) AS status FROM logs GROUP BY level")
+def met_snapshot(spark, sf_dir):
+    one = _logs(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"), F.sum(F.length("content").cast("long")).alias("c"), F.max("seq").alias("s"))
+    return one.select("level", F.to_json(F.struct("n", F.col("c").alias("chars"), F.col("s").alias("last"))).alias("status"))
+
+
+@query(f"SELECT conv_id, turn, role AS role_x, CASE WHEN length({_san_sql('left(text, 60)')}) >= 8 THEN {_mask_sql(_san_sql('left(text, 60)'))} ELSE {_san_sql('left(text, 60)')} END AS text FROM conversations")
+def sec_mdc(spark, sf_dir):
+    mdc = text.secure_mdc(F.create_map(F.lit("role x"), F.col("role"), F.lit("text"), F.substring("text", 1, 60)))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", mdc.alias("m")).select("conv_id", "turn", F.col("m")["role_x"].alias("role_x"), F.col("m")["text"].alias("text"))
+
+
 # ---- end to end ------------------------------------------------------------------------------------------------------
 
 
