@@ -126,12 +126,43 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int,
 BLOCK_KEY = ["tree", "region", "kind", "p", "q"]
 
 
-def _sides(block: pd.DataFrame):
-    """Rows of a block pair: (ids, components, signatures) of either side; a block that is paired with itself is both."""
-    block = block.drop_duplicates(["rep", "side"]).sort_values("rep")
-    for part in (block[block["side"] != 1], block[block["side"] != 0]):
-        sigs = np.stack([np.frombuffer(s, dtype=">u4").astype(np.uint32) for s in part["sig"]]) if len(part) else np.empty((0, TREES * DEPTH), dtype=np.uint32)
-        yield part["rep"].to_numpy(), part["comp"].to_numpy(), sigs
+def _by_block(handle, fields: str):
+    """For mapInPandas over rows that are sorted by BLOCK_KEY: handle(key, part) gives a block pair's rows as tuples. Most
+    regions are tiny, so they are cut out of whole batches; what is held over a batch is one block pair at most."""
+    names = [x.split()[0] for x in fields.split(", ")]
+    kinds = {x.split()[0]: {"long": "int64", "int": "int32"}.get(x.split()[1], "object") for x in fields.split(", ")}
+
+    def rows(data: pd.DataFrame, bounds) -> pd.DataFrame:
+        columns = {c: data[c].to_numpy() for c in data.columns}
+        out = []
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            part = {c: v[start:end] for c, v in columns.items()}
+            out += handle(tuple(part[k][0] for k in BLOCK_KEY), part)
+        return pd.DataFrame(out, columns=names).astype(kinds)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            data = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            new = np.zeros(max(0, len(data) - 1), dtype=bool)
+            for k in BLOCK_KEY:
+                v = data[k].to_numpy()
+                new |= v[1:] != v[:-1]
+            bounds = [0, *(np.flatnonzero(new) + 1)]
+            held = data.iloc[bounds[-1] :]
+            if len(bounds) > 1:
+                yield rows(data, bounds)
+        if held is not None and len(held):
+            yield rows(held, [0, len(held)])
+
+    return run
+
+
+def _sides(part: dict):
+    """Either side of a block pair: (ids, components, signatures); a block that is paired with itself is both."""
+    sigs = np.frombuffer(b"".join(part["sig"]), dtype=">u4").reshape(len(part["sig"]), -1)
+    for side in (part["side"] != 1, part["side"] != 0):
+        yield part["rep"][side], part["comp"][side], sigs[side]
 
 
 def _least(percent: int) -> float:
@@ -141,10 +172,11 @@ def _least(percent: int) -> float:
 
 
 def _best(percent: int):
-    """Of each set of a block pair, the partner of another component whose signature agrees most."""
+    """Of each set of a block pair, the partner of another component whose signature agrees most: (u, v, near)."""
+    least = _least(percent)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        (mine, own, x), (theirs, foreign, y) = _sides(block)
+    def handle(key: tuple, part: dict) -> list[tuple]:
+        (mine, own, x), (theirs, foreign, y) = _sides(part)
         out = []
         top, at = np.zeros(len(y), dtype=np.int32), np.zeros(len(y), dtype=np.int64)
         for i in range(len(x)) if len(y) else ():
@@ -154,43 +186,42 @@ def _best(percent: int):
             better = same > top
             top[better], at[better] = same[better], mine[i]
         out += zip(theirs, at, top, strict=True)
-        return pd.DataFrame([r for r in out if r[2] >= _least(percent)], columns=["u", "v", "near"]).astype({"u": "int64", "v": "int64", "near": "int32"})
+        return [r for r in out if r[2] >= least]
 
-    return run
+    return handle
 
 
 def _candidates(percent: int):
     """The sets of a block pair that may be similar to one of another component, with these partners' ids packed. A pair
     counts in the first tree in which it shares a region, so in one block pair alone."""
+    least = _least(percent)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        (mine, own, x), (theirs, foreign, y) = _sides(block)
-        tree, width, twice = int(block["tree"].iloc[0]), LEAST_DEPTH, bool((block["side"] == 2).any())
+    def handle(key: tuple, part: dict) -> list[tuple]:
+        (mine, own, x), (theirs, foreign, y) = _sides(part)
+        twice = bool((part["side"] == 2).any())
         partners, met = {}, set()
         for i in range(len(x)) if len(y) else ():
             j = np.flatnonzero((foreign != own[i]) & ((theirs > mine[i]) | (not twice)))
-            j = j[(x[i] == y[j]).sum(axis=1) >= _least(percent)]
-            for t in range(tree):
-                j = j[(x[i, t * DEPTH : t * DEPTH + width] != y[j, t * DEPTH : t * DEPTH + width]).any(axis=1)]
+            j = j[(x[i] == y[j]).sum(axis=1) >= least]
+            for t in range(key[0]) if len(j) else ():
+                j = j[(x[i, t * DEPTH : t * DEPTH + LEAST_DEPTH] != y[j, t * DEPTH : t * DEPTH + LEAST_DEPTH]).any(axis=1)]
             if len(j):
                 partners[int(mine[i])] = theirs[j].astype("<i8").tobytes()
                 met.update(theirs[j].tolist())
-        comps = dict(zip([*mine, *theirs], [*own, *foreign], strict=True))
-        rows = sorted(met | partners.keys())
-        out = pd.DataFrame({"rep": np.array(rows, dtype=np.int64), "comp": np.array([comps[r] for r in rows], dtype=np.int64), "partners": [partners.get(r, b"") for r in rows]})
-        return out.assign(**{k: block[k].iloc[0] for k in BLOCK_KEY})
+        comps = dict(zip(part["rep"].tolist(), part["comp"].tolist(), strict=True)) if partners else {}
+        return [(r, comps[r], partners.get(r, b""), *key) for r in sorted(met | partners.keys())]
 
-    return run
+    return handle
 
 
 def _linked(percent: int):
     """Confirmed links of a block pair that join components; pairs that earlier links have joined need no look."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
+    def handle(key: tuple, part: dict) -> list[tuple]:
         sets: dict[int, list[np.ndarray]] = {}  # one set for each text of an id
-        for r, f in zip(block["rep"], block["found"], strict=True):
+        for r, f in zip(part["rep"].tolist(), part["found"], strict=True):
             sets.setdefault(r, []).append(np.frombuffer(f, dtype=np.uint64))
-        comp = dict(zip(block["rep"], block["comp"], strict=True))
+        comp = dict(zip(part["rep"].tolist(), part["comp"].tolist(), strict=True))
         root = {c: c for c in comp.values()}
 
         def find(c):
@@ -199,15 +230,19 @@ def _linked(percent: int):
             return c
 
         out = []
-        for r, packed in zip(block["rep"], block["partners"], strict=True):
+        for r, packed in zip(part["rep"].tolist(), part["partners"], strict=True):
             for other in np.frombuffer(packed, dtype="<i8").tolist():
                 a, b = find(comp[r]), find(comp[other])
                 if a != b and any(_similar(x, y, percent) for x in sets[r] for y in sets[other]):
                     root[max(a, b)] = min(a, b)
                     out.append((r, other))
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+        return out
 
-    return run
+    return handle
+
+
+def _of_blocks(df: DataFrame, handle, fields: str) -> DataFrame:
+    return df.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).mapInPandas(_by_block(handle, fields), fields)
 
 
 def _blocks(trees: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -230,7 +265,7 @@ def _blocks(trees: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _best_pairs(trees: DataFrame, sigs: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Of each set that meets another component in a region of ``trees``, the two best partners: pairs (u, v)."""
-    found = _blocks(trees, sigs, comps).groupBy(*BLOCK_KEY).applyInPandas(_best(percent), "u long, v long, near int")
+    found = _of_blocks(_blocks(trees, sigs, comps), _best(percent), "u long, v long, near int")
     first = found.groupBy("u").agg(F.max(F.struct("near", "v")).alias("first"), F.max(F.struct("near", -F.col("v"))).alias("second"))
     both = first.select("u", F.explode(F.array(F.col("first.v"), -F.col("second.col2"))).alias("v"))
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -239,10 +274,10 @@ def _best_pairs(trees: DataFrame, sigs: DataFrame, comps: DataFrame, percent: in
 def _rest(trees: DataFrame, sigs: DataFrame, comps: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between components, from all regions of all trees; sets go to blocks, not to pairs."""
     kept = "rep long, comp long, partners binary, tree int, region binary, kind int, p long, q long"
-    asked = materialize(_blocks(trees, sigs, comps).groupBy(*BLOCK_KEY).applyInPandas(_candidates(percent), kept), "minhash-asked")
+    asked = materialize(_of_blocks(_blocks(trees, sigs, comps), _candidates(percent), kept), "minhash-asked")
     ids = asked.select(F.col("rep").alias("doc_id")).distinct()
     sets = documents.join(ids, "doc_id", "left_semi").mapInPandas(_sets(size), "rep long, found binary")
-    return materialize(asked.join(sets, "rep").groupBy(*BLOCK_KEY).applyInPandas(_linked(percent), "u long, v long"), "minhash-rest")
+    return materialize(_of_blocks(asked.join(sets, "rep"), _linked(percent), "u long, v long"), "minhash-rest")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
