@@ -20,8 +20,8 @@ SIZES = (3, 4, 5, 6)
 SLOTS = 1 << 21
 #: Most labelled rows that the classifier is fitted on (those of least hash; all labelled rows if there are fewer).
 FIT_BOUND = 20_000
-#: A slot is used if that many fitting texts hold it and its ratio is this many standard errors from 0.
-LEAST_TEXTS, LEAST_Z = 4, 5.0
+#: A slot is used if that many fitting texts hold it and the likelihood ratio statistic of it and the label is this large.
+LEAST_TEXTS, LEAST_G = 4, 40.0
 FOLDS = 5
 
 
@@ -108,6 +108,16 @@ class ToxicityModel:
         return score
 
 
+def _association(n0: int, n1: int):
+    """Likelihood ratio statistic of columns clean and toxic, counts of texts with a slot among n0 clean and n1 toxic ones."""
+    total, out = n0 + n1, F.lit(0.0)
+    held = F.col("clean") + F.col("toxic")
+    for n, with_it in ((n0, F.col("clean")), (n1, F.col("toxic"))):
+        for seen, margin in ((with_it, held), (n - with_it, total - held)):
+            out = out + F.when(seen > 0, 2 * seen * F.log(seen * total / (margin * n))).otherwise(0.0)
+    return out
+
+
 def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_BOUND, sizes=SIZES, slots: int = SLOTS, folds: int = FOLDS) -> ToxicityModel:
     """Fits on labelled rows outside fold 0 of crc32(doc_id) mod ``folds``, at most ``bound`` of them, least hash first.
 
@@ -122,8 +132,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_BOUND
     if not n0 or not n1:
         return ToxicityModel(sizes, slots, np.empty(0, dtype=np.int64), np.empty(0), float(np.log((n1 + 1) / (n0 + 1))))
     p, q = (F.col("toxic") + 1) / (n1 + 2), (F.col("clean") + 1) / (n0 + 2)
-    spread = F.sqrt(1 / (F.col("toxic") + 1) - 1 / F.lit(n1 + 2) + 1 / (F.col("clean") + 1) - 1 / F.lit(n0 + 2))
-    used = counts.filter("slot >= 0").filter((F.col("toxic") + F.col("clean") >= LEAST_TEXTS) & (F.abs(F.log(p / q)) >= LEAST_Z * spread))
+    used = counts.filter("slot >= 0").filter((F.col("toxic") + F.col("clean") >= LEAST_TEXTS) & (_association(n0, n1) >= LEAST_G))
     chosen = used.select("slot", F.log(p / q).alias("r")).toPandas().sort_values("slot")
     at = chosen["slot"].to_numpy(dtype=np.int64)
     rows = texts.mapInPandas(_rows(sizes, slots, at), "toxic int, at binary").toPandas()
