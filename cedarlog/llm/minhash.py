@@ -76,18 +76,53 @@ def _sign(size: int):
     return run
 
 
-def _neighbours(batches):
-    """Adjacent sets of a tree's order that share LEAST_DEPTH minima or more; at equal prefixes the longer one first."""
-    last = None
-    width = 4 * LEAST_DEPTH
+CROWDED = "tree int, region long, rep long, prev long"
+
+
+def _crowded(batches):
+    """Of a tree's order, the sets that share LEAST_DEPTH minima with an adjacent one, with the one before them if it is
+    such (prev). The first and last set of a partition are always kept: their region may go on in another one."""
+    held = None
+
+    def rows(data: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The kept rows of ``data`` but for its last row, which is kept only if no batch follows."""
+        tree, region, rep, prev, keep = (data[c].to_numpy() for c in ("tree", "region", "rep", "prev", "keep"))
+        same = (tree[1:] == tree[:-1]) & (region[1:] == region[:-1])
+        prev, keep = prev.copy(), keep.copy()
+        prev[1:][same] = rep[:-1][same]
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[-1] |= last
+        done = len(data) if last else len(data) - 1
+        out = pd.DataFrame({"tree": tree, "region": region, "rep": rep, "prev": prev, "keep": keep})
+        return out.iloc[:done][keep[:done]], out.iloc[done:]
+
     for batch in batches:
-        u, v = [], []
-        for tree, key, rep in zip(batch["tree"], batch["key"], batch["rep"], strict=True):
-            if last and last[0] == tree and last[1] == key[:width]:
-                u.append(max(rep, last[2]))
-                v.append(min(rep, last[2]))
-            last = (tree, bytes(key[:width]), rep)
-        yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+        data = batch[["tree", "region", "rep"]].assign(prev=np.int64(-1), keep=False)
+        data["prev"] = data["rep"]
+        if held is None:
+            data["keep"] = np.arange(len(data)) == 0
+        else:
+            data = pd.concat([held, data], ignore_index=True)
+        if len(data):
+            kept, held = rows(data, False)
+            yield kept[["tree", "region", "rep", "prev"]]
+    if held is not None and len(held):
+        yield rows(held, True)[0][["tree", "region", "rep", "prev"]]
+
+
+#: Bits of the map of document ids by which texts are sifted before they are shuffled: 8 MB at most, however many ids.
+SIFT_BITS = 1 << 26
+
+
+def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose doc_id is in ``ids``. A bitmap of hashed ids, of a fixed size, keeps most other
+    texts out of the shuffle; the join that follows is exact, so a full bitmap costs time only."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIFT_BITS))
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    sifted = documents.withColumns({"bucket": F.bitmap_bucket_number(bit), "place": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "bucket")
+    held = F.expr("shiftright(CAST(conv(hex(substring(map, CAST(place DIV 8 AS int) + 1, 1)), 16, 10) AS int), CAST(place % 8 AS int)) & 1") == 1
+    return sifted.filter(held).select(*documents.columns).join(ids, "doc_id", "left_semi")
 
 
 def _sets(size: int):
@@ -116,7 +151,7 @@ def _confirm(percent: int):
 def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. A pair carries one set through each of two joins."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = materialize(documents.join(ids, "doc_id", "left_semi").mapInPandas(_sets(size), "rep long, found binary"), f"{name}-sets")
+    sets = materialize(_texts_of(documents, ids).mapInPandas(_sets(size), "rep long, found binary"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("found").alias("b")), "v")
     links = materialize(both.mapInPandas(_confirm(percent), "u long, v long").distinct(), f"{name}-links")
     discard(sets)
@@ -247,7 +282,7 @@ def _of_blocks(df: DataFrame, handle, fields: str) -> DataFrame:
 
 def _blocks(trees: DataFrame, sigs: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of every region of ``trees`` in which there is more than one component, dealt to pairs of blocks."""
-    rows = trees.join(comps, "rep", "left").select("tree", F.substring("key", 1, 4 * LEAST_DEPTH).alias("region"), "rep", F.coalesce("component", "rep").alias("comp"))
+    rows = trees.join(comps, "rep", "left").select("tree", "region", "rep", F.coalesce("component", "rep").alias("comp"))
     sizes = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("n"))
     regions = sizes.groupBy("tree", "region").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n")).filter("comps > 1")
     regions = regions.select("tree", "region", F.col("major.comp").alias("major"), F.ceil(F.col("major.n") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("major.n")) / BLOCK).cast("int").alias("minors"))
@@ -273,10 +308,10 @@ def _best_pairs(trees: DataFrame, sigs: DataFrame, comps: DataFrame, percent: in
 
 def _rest(trees: DataFrame, sigs: DataFrame, comps: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between components, from all regions of all trees; sets go to blocks, not to pairs."""
-    kept = "rep long, comp long, partners binary, tree int, region binary, kind int, p long, q long"
+    kept = "rep long, comp long, partners binary, tree int, region long, kind int, p long, q long"
     asked = materialize(_of_blocks(_blocks(trees, sigs, comps), _candidates(percent), kept), "minhash-asked")
     ids = asked.select(F.col("rep").alias("doc_id")).distinct()
-    sets = documents.join(ids, "doc_id", "left_semi").mapInPandas(_sets(size), "rep long, found binary")
+    sets = _texts_of(documents, ids).mapInPandas(_sets(size), "rep long, found binary")
     return materialize(_of_blocks(asked.join(sets, "rep"), _linked(percent), "u long, v long"), "minhash-rest")
 
 
@@ -290,9 +325,12 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     signed = materialize(docs.mapInPandas(_sign(size), SIGNED), "minhash-signed")
     usable = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("least")).select("k1", "k2", "n", F.col("least.doc_id").alias("rep"), F.col("least.sig").alias("sig")), "minhash-classes")
-    sigs = classes.groupBy("rep").agg(F.min("sig").alias("sig"))
-    trees = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("key"), "rep")
-    near = trees.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").mapInPandas(_neighbours, "u long, v long").filter("u > v")
+    forest = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("key"), "rep")
+    order = forest.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+    # a region is known by the hash of its prefix: two that share one are compared together, which loses nothing
+    trees = materialize(order.select("tree", F.xxhash64(F.substring("key", 1, 4 * LEAST_DEPTH)).alias("region"), "rep").mapInPandas(_crowded, CROWDED), "minhash-trees")
+    sigs = materialize(classes.select("rep", "sig").join(trees.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min("sig").alias("sig")), "minhash-sigs")
+    near = trees.select(F.greatest("rep", "prev").alias("u"), F.least("rep", "prev").alias("v")).filter("u > v")
     best = near.groupBy("u", "v").count().groupBy("u").agg(F.max(F.struct("count", -F.col("v"))).alias("b")).select("u", (-F.col("b.col2")).alias("v"))
     links = _confirmed(materialize(best, "minhash-best"), docs, size, percent, "minhash-first")
     comps = connected_components(links, "minhash-cc").select(F.col("node").alias("rep"), "component")
