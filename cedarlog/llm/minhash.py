@@ -111,18 +111,20 @@ def _crowded(batches):
         yield rows(held, True)[0][["tree", "region", "rep", "prev"]]
 
 
-#: Bits of the map of document ids by which texts are sifted before they are shuffled: 8 MB at most, however many ids.
-SIFT_BITS = 1 << 26
+#: Bits of the map of document ids by which texts are sifted before they are shuffled: 4 MB at most, however many ids.
+SIFT_BITS = 1 << 25
 
 
 def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is in ``ids``. A bitmap of hashed ids, of a fixed size, keeps most other
-    texts out of the shuffle; the join that follows is exact, so a full bitmap costs time only."""
+    """The rows of ``documents`` whose doc_id is in ``ids``, which are distinct. A bitmap of hashed ids, of a fixed size,
+    keeps most other texts out of the shuffle; the join that follows is exact, so a full bitmap costs time only. Ids are
+    dealt out by bucket first, as a partial bitmap in every task would be larger than its ids; an inner join stays above
+    the bitmap's, where a left semi join would be pushed below it."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIFT_BITS))
-    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    maps = ids.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("place")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map"))
     sifted = documents.withColumns({"bucket": F.bitmap_bucket_number(bit), "place": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "bucket")
     held = F.expr("shiftright(CAST(conv(hex(substring(map, CAST(place DIV 8 AS int) + 1, 1)), 16, 10) AS int), CAST(place % 8 AS int)) & 1") == 1
-    return sifted.filter(held).select(*documents.columns).join(ids, "doc_id", "left_semi")
+    return sifted.filter(held).select(*documents.columns).join(ids, "doc_id")
 
 
 def _sets(size: int):
