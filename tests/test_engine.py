@@ -118,6 +118,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for n in range(3):
         (name,) = (x for x in os.listdir(f"{tmp_path}/in/{n}") if x.endswith(".parquet"))
         shutil.copy(f"{tmp_path}/in/{n}/{name}", f"{path}/{n}.parquet")
+        os.utime(f"{path}/{n}.parquet", (1_700_000_000 + n,) * 2)  # files are taken in order of these times; equal ones have none
     stream = stream_batches(spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path), 10, 300, floor=0)
     q = stream.writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
