@@ -2,8 +2,9 @@
 
 The markup is stripped into lines, one for each block-level element, of which each has a text length. Text inside
 elements that never hold an article (navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) and lines that are mostly links have length 0. Sums of lengths over a sliding window of lines rise
-steeply where an article starts (surge) and fall to nothing where it ends (dive); what lies between them is kept.
+reader comments) and lines that are mostly links have length 0. A class word does not switch off an element that contains
+an article or most of the page's text. Sums of lengths over a sliding window of lines rise steeply where an article starts
+(surge) and fall to nothing where it ends (dive); what lies between them is kept, lines of links included.
 """
 
 from __future__ import annotations
@@ -25,43 +26,100 @@ NOT_ARTICLE = frozenset(
     " sidebar side header masthead footer cookie cookies consent notice gdpr alert newsletter subscribe signup login popup modal overlay"
     " comment comments disqus replies respond share sharing social related recommended toolbar pagination pager widget skip copyright legal".split()
 )
+#: Words of sections that follow an article and may hold further <article> elements (a comment or a teaser each).
+AFTER_ARTICLE = frozenset("comment comments disqus replies respond related recommended".split())
+#: Text on either side, in a window of lines, that is an article's, so that a list of links between is the article's too.
+DENSE = 200
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 CLOSED_BY = {k: frozenset({k}) for k in ("p", "li", "option", "tr")} | {"dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
 
 
-def _boilerplate(tag: str, attributes: str, inside: tuple[str, ...]) -> bool:
+def _boilerplate(tag: str, attributes: str, inside: tuple[str, ...]) -> str | None:
+    """Why an element is boilerplate: hidden, its tag or role, or a word (after: of a section that follows an article)."""
+    why = None
     if tag in ASIDE and not (tag == "header" and "article" in inside):
-        return True
+        why = "word" if tag == "form" else "tag"
     if not attributes.strip():
-        return False
+        return why
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+            return "hidden"
         if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NOT_ARTICLE & set(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            why = "tag"
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (words := NOT_ARTICLE & set(re.split(r"[^a-z]+", value))):
+            why = why if why == "tag" else "after" if why == "after" or words & AFTER_ARTICLE else "word"
+    return why
+
+
+def _switched_off(marked: list[tuple[str, list[int], int]], articles: list[str], found: list[tuple]) -> list[bool]:
+    """For each marked element (why, articles inside, how many are around it) whether its text is dropped.
+
+    An element that contains <main> is not, unless it is hidden; one marked by a class word or a form is not if it contains an
+    article (the page's first, if its word is that of a section after an article) or more than half of the page's text.
+    On a page with articles an element with most of the text has to hold several blocks too, and one of a section after an
+    article is not spared for its share if an article is elsewhere."""
+    hard = [why == "hidden" or (why == "tag" and not any(articles[i] == "main" for i in inside)) for why, inside, _ in marked]
+    size, blocks, total = [0] * len(marked), [0] * len(marked), 0
+    for text, linked, marks, _ in found:
+        if not linked and not any(hard[i] for i in marks):
+            total += len(text)
+            for i in marks:
+                size[i] += len(text)
+                blocks[i] += 1
+    out = []
+    for i, (why, inside, around) in enumerate(marked):
+        if why in ("hidden", "tag"):
+            out.append(hard[i])
+            continue
+        article = any(articles[k] == "main" or why == "word" or k == 0 for k in inside)
+        elsewhere = len(inside) + around < len(articles)
+        most = 2 * size[i] > total and (blocks[i] > 1 or not articles) and not (elsewhere and why == "after")
+        out.append(not (article or most))
+    return out
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """The page's blocks in order: (text, length); the length is 0 for text that cannot be an article's."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool]] = []  # open elements that are not inline: name, whether the text inside is boilerplate
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """The page's blocks in order: (text, length, whether it is dropped as boilerplate); the length is 0 for boilerplate and
+    for blocks that are mostly links outside an article's own element."""
+    found: list[tuple[str, bool, tuple[int, ...], int]] = []  # text, whether it is mostly links, marked elements and article it is in
+    stack: list[tuple[str, bool, bool]] = []  # open elements that are not inline: name, whether it is marked, whether it is an article
+    marked: list[tuple[str, list[int], int]] = []
+    articles: list[str] = []
+    marks: list[int] = []  # open ones
+    regions: list[int] = []
     held: list[str] = []
     linked = [0]
-    links = off = 0
+    links = 0
 
     def end() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, 0 if off or 2 * linked[0] > len(text) else len(text)))
+            found.append((text, 2 * linked[0] > len(text), tuple(marks), regions[-1] if regions else -1))
         linked[0] = 0
 
+    def push(tag: str, why: str | None) -> None:
+        if tag in ("article", "main"):
+            for i in marks:
+                marked[i][1].append(len(articles))
+            regions.append(len(articles))
+            articles.append(tag)
+        if why:
+            marks.append(len(marked))
+            marked.append((why, [], len(regions)))
+        stack.append((tag, why is not None, tag in ("article", "main")))
+
+    def pop() -> str:
+        name, mark, article = stack.pop()
+        if mark:
+            marks.pop()
+        if article:
+            regions.pop()
+        return name
+
     at, size = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
@@ -75,13 +133,11 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in INLINE and any(x == tag for x, _ in stack):
-                end()
-                while stack:
-                    name, was = stack.pop()
-                    off -= was
-                    if name == tag:
-                        break
+            elif any(x == tag for x, _, _ in stack):
+                if tag not in INLINE or any(x == tag and mark for x, mark, _ in stack):
+                    end()
+                while stack and pop() != tag:
+                    pass
             elif tag == "p":
                 end()
             continue
@@ -102,39 +158,39 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             if tag in VOID:
                 continue
             if stack and stack[-1][0] in CLOSED_BY.get(tag, ()) or stack and stack[-1][0] == "p":
-                off -= stack.pop()[1]
-            bad = _boilerplate(tag, m[3], tuple(x for x, _ in stack))
-            off += bad
-            stack.append((tag, bad))
-        elif m[3].strip() and _boilerplate(tag, m[3], ()):  # an inline element that is a notice or advert
+                pop()
+            push(tag, _boilerplate(tag, m[3], tuple(x for x, _, _ in stack)))
+        elif tag not in VOID and m[3].strip() and (why := _boilerplate(tag, m[3], ())):  # an inline element that is a notice or advert
             end()
-            stack.append((tag, True))
-            off += 1
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
-            off -= stack.pop()[1]
+            push(tag, why)
+        elif tag not in VOID and any(x == tag for x, _, _ in stack):  # inside one, so that its end is not taken for the other's
+            push(tag, None)
     if at < size:
         held.append(page[at:])
     end()
-    return out
+    off = _switched_off(marked, articles, found)
+    own = {region for _, links_only, marks_, region in found if not links_only and not any(off[i] for i in marks_)}
+    own -= {-1} | ({i for i, x in enumerate(articles) if x == "main"} if "article" in articles else set())
+    return [(text, 0 if (bad := any(off[i] for i in marks_)) or (links_only and region not in own) else len(text), bad) for text, links_only, marks_, region in found]
 
 
 def main_text(page: str | None, window: int = 3) -> str:
-    """Sums of ``window`` line lengths; a surge is a line at which the sum leaves 0, a dive one at which it is 0 again.
-    All blocks of text between a surge and its dive are kept; blocks of length 0 inside are not."""
-    lines = lines_of(page or "")
-    sums = [sum(n for _, n in lines[i : i + window]) for i in range(len(lines))]
+    """Sums of ``window`` line lengths; a surge is a line at which the sum leaves 0, a dive one at which it is 0 again, unless
+    only lines of links lie between sums of ``DENSE`` characters. All blocks of text between a surge and its dive are
+    kept, lines of links included; boilerplate is not."""
+    lines = [(text, n) for text, n, bad in lines_of(page or "") if not bad]
     kept: list[str] = []
     i = 0
     while i < len(lines):
-        if not sums[i]:
+        if lines[i][1]:
+            kept.append(lines[i][0])
             i += 1
             continue
-        dive = i
-        while dive < len(lines) and sums[dive]:
-            dive += 1
-        kept += [text for text, n in lines[i : min(len(lines), dive + window - 1)] if n]
-        i = max(dive, min(len(lines), dive + window - 1))
+        after = next((k for k in range(i, len(lines)) if lines[k][1]), len(lines))
+        dense = min(sum(n for _, n in lines[max(0, i - window) : i]), sum(n for _, n in lines[after : after + window])) >= DENSE
+        if 0 < i and after < len(lines) and (after - i < window or dense):
+            kept += [text for text, _ in lines[i:after]]
+        i = after
     return "\n\n".join(kept)
 
 

@@ -188,6 +188,30 @@ def test_html(spark):
     assert (got[2]["text"], got[2]["n_chars"], got[3]["text"]) == ("", 0, "") and got[4]["n_chars"] == 249_999
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar", "page has-header", "layout menu-open", "has-comments"])
+def test_html_wrapper_with_a_boilerplate_word(name):
+    text = "Words of an article that go on for a while. " * 5
+    body = f'<h1>Title</h1><p>{text}</p><div class="ad">Buy</div><p>{text}</p>'
+    expected = f"Title\n\n{text.strip()}\n\n{text.strip()}"
+    comments = '<section class="comments">' + f"<article>{text * 9}</article>" * 3 + "</section>"
+    for page in (f'<div class="{name}"><article>{body}</article></div>{comments}', f'<div class="{name}">{body}</div><div class="notice">Hi</div>', f'<main><div id="{name}">{body}</div></main>', f'<form class="{name}">{body}</form>'):
+        assert html_extract.main_text(f"<body><nav><a href=x>A</a></nav>{page}<footer>f</footer>") == expected
+    assert html_extract.main_text('<p>a <span class="ad">x <span>y</span> z</span> b</p><p>The rest of it</p>') == "a\n\nb\n\nThe rest of it"
+    short = f"<article><p>Short</p></article><div class=ad>{text}</div>"
+    assert html_extract.main_text(short) == "Short" and html_extract.main_text(f"<div hidden><main>{body}</main></div>") == ""
+
+
+def test_html_lines_of_links():
+    text = "Words of an article that go on for a while. " * 5
+    links = "<ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(5)) + "</ul>"
+    shown = [f"Link {i}" for i in range(5)]
+    one = '<p>See <a href="x">a long title of a work that is cited</a>.</p>'
+    cited = "See a long title of a work that is cited."
+    t = text.strip()
+    assert html_extract.main_text(f"<article><p>{text}</p>{one}<p>Short</p>{links}</article>{links}").split("\n\n") == [t, cited, "Short", *shown]
+    assert html_extract.main_text(f"<div>Site</div>{links}<div><p>{text}</p>{links}<p>{text}</p>{one}<p>End</p></div>{links}").split("\n\n") == ["Site", t, *shown, t, cited, "End"]
+
+
 def test_ppm_is_a_distribution():
     rng = random.Random(1)
     train = [prose(rng, 40).encode() for _ in range(30)]
