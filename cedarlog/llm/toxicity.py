@@ -20,8 +20,9 @@ SIZES = (3, 4, 5, 6)
 SLOTS = 1 << 21
 #: Most labelled rows that the classifier is fitted on (those of least hash; all labelled rows if there are fewer).
 FIT_BOUND = 20_000
-#: A slot is used if that many fitting texts hold it and the likelihood ratio statistic of it and the label is this large.
-LEAST_TEXTS, LEAST_G = 4, 40.0
+#: A slot is used if that many fitting texts hold it, in the order of the likelihood ratio statistic of it and the label,
+#: until the used slots make that many entries for each fitting text on average. No least statistic: it grows with the labels.
+LEAST_TEXTS, ENTRIES = 3, 30
 FOLDS = 5
 
 
@@ -122,7 +123,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_BOUND
     """Fits on labelled rows outside fold 0 of crc32(doc_id) mod ``folds``, at most ``bound`` of them, least hash first.
 
     Null ids, texts or labels teach nothing; a document with several labels is toxic if any says so. The driver gets
-    counts for the slots, at most two numbers for each of ``slots``, and the used slots of at most ``bound`` texts."""
+    the slots that rank first, at most ``ENTRIES`` / ``LEAST_TEXTS`` for each of at most ``bound`` texts, and ``ENTRIES``
+    places of used slots for each text on average."""
     known = labels.filter(f"toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS string)) % {folds} != 0")
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(known), "doc_id").select("text", "toxic")
@@ -132,8 +134,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_BOUND
     if not n0 or not n1:
         return ToxicityModel(sizes, slots, np.empty(0, dtype=np.int64), np.empty(0), float(np.log((n1 + 1) / (n0 + 1))))
     p, q = (F.col("toxic") + 1) / (n1 + 2), (F.col("clean") + 1) / (n0 + 2)
-    used = counts.filter("slot >= 0").filter((F.col("toxic") + F.col("clean") >= LEAST_TEXTS) & (_association(n0, n1) >= LEAST_G))
-    chosen = used.select("slot", F.log(p / q).alias("r")).toPandas().sort_values("slot")
+    held, entries = F.col("toxic") + F.col("clean"), ENTRIES * (n0 + n1)
+    ranked = counts.filter("slot >= 0").filter(held >= LEAST_TEXTS).orderBy(F.round(_association(n0, n1), 9).desc(), "slot").limit(entries // LEAST_TEXTS)
+    chosen = ranked.select("slot", held.alias("held"), F.log(p / q).alias("r")).toPandas()
+    chosen = chosen[chosen["held"].cumsum() <= entries].sort_values("slot")
     at = chosen["slot"].to_numpy(dtype=np.int64)
     rows = texts.mapInPandas(_rows(sizes, slots, at), "toxic int, at binary").toPandas()
     weights, bias = _logistic([np.frombuffer(x, dtype="<i4") for x in rows["at"]], rows["toxic"].to_numpy(dtype=float), chosen["r"].to_numpy())

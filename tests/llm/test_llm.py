@@ -293,6 +293,16 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, empty).count() == len(rows)
 
 
+def test_toxicity_with_few_labels(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join([prose(rng, 40), *(["moron", prose(rng, 30), "scum"] if i % 8 == 0 else [])])) for i in range(400)]
+    docs = frame(spark, rows)
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(48)], "doc_id long, toxic int"))
+    assert len(model.at) and (model.weights > 0).any()
+    got = [(r["doc_id"] % 8 == 0, r["predicted"]) for r in toxicity.score_toxicity(docs, model).collect() if r["doc_id"] >= 48]
+    assert sum(p for toxic, p in got if toxic) >= 0.9 * sum(toxic for toxic, _ in got) and sum(p for toxic, p in got if not toxic) <= 0.05 * len(got)
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", "<p>é\r\n\r\nWARC/1.1</p>", None, "", "<p>a</p>", "x" * 50_000]
     rows = [(i + 1, f"http://www.Ex{i % 2}.org/P?q={i}", h) for i, h in enumerate(html)] + [(9, None, "<p>a</p>"), (None, "http://z/", "<p>a</p>")]
