@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a local one, but only for a
+    local master: executors elsewhere could not read it."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.cedarlog.scratch", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="cedarlog-")
         spark.conf.set("spark.cedarlog.scratch", where)
     return where.rstrip("/")
@@ -50,6 +53,11 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ids_back(df: DataFrame, *columns: str) -> DataFrame:
+    """Ids that went through Python as strings (a column of numbers with a null would be one of doubles) as numbers again."""
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also change other letters)."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -94,23 +102,27 @@ def _local_stars(batches):
 def connected_components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns u, v: long); component is the least node reachable.
 
-    Alternating large-star and small-star rounds until all edges form stars; each round is written to the shared folder,
-    so that a lost executor repeats one round at most, and the rounds are logarithmic in the longest path. Loops and nulls
-    are left out."""
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
-    e = materialize(e.mapInPandas(_local_stars, "u long, v long").distinct(), name)
+    Alternating large-star and small-star rounds until a round changes nothing, which is when all edges form stars. Each round
+    is one job that is written to the shared folder, with a count and a sum of hashes of its edges to tell a change by; a
+    lost executor repeats one round at most, and the rounds are logarithmic in the longest path. Loops and nulls are left out."""
+    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").mapInPandas(_local_stars, "u long, v long").distinct()
+    known = None
     for _ in range(most_rounds):
-        if e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and e.groupBy("u").count().filter("count > 1").isEmpty():
+        seen = Observation()
+        new = materialize(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name)
+        if known:
+            discard(known[0])
+            if known[1] == seen.get:
+                break
+        known = (new, seen.get)
+        if not known[1]["n"]:
             break
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = new.union(new.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        new = materialize(small.distinct(), name)
-        discard(e)
-        e = new
+        e = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
     else:
         raise RuntimeError("components did not settle")
-    members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    members = new.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(members.select(F.col("component").alias("node"), "component").distinct())
