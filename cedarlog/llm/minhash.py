@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, connected_components, discard, materialize, mix64
+from .common import LOWER_BYTES, connected_components, discard, ids_back, materialize, mix64
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 #: Most sets in a block of a region that is compared in full.
@@ -24,7 +24,7 @@ BLOCK = 2048
 MARGIN = 3.5
 #: Trees in which each set's best partner is looked for before whole regions are compared.
 FIRST_TREES = 4
-SIGNED = "doc_id long, n long, k1 long, k2 long, sig binary"
+SIGNED = "doc_id string, key long, n long, k1 long, k2 long, sig binary"
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,6 +60,13 @@ def signature(found: np.ndarray) -> bytes:
     return least.astype(">u4").tobytes()
 
 
+def _identity(found: np.ndarray) -> tuple[int, int, int]:
+    """What a set is known by: its size and two sums of its shingles, 64 bits each."""
+    if not len(found):
+        return 0, 0, 0
+    return len(found), int(np.bitwise_xor.reduce(mix64(found + np.uint64(1))).view(np.int64)), int(found.sum(dtype=np.uint64).view(np.int64))
+
+
 def _sign(size: int):
     def run(batches):
         hashes = _Hashes()
@@ -67,11 +74,10 @@ def _sign(size: int):
             n, k1, k2, sig = [], [], [], []
             for text in batch["text"]:
                 found = shingles(text, size, hashes)
-                n.append(len(found))
-                k1.append(np.bitwise_xor.reduce(mix64(found + np.uint64(1))).view(np.int64) if len(found) else 0)
-                k2.append(found.sum(dtype=np.uint64).view(np.int64) if len(found) else 0)
+                for column, value in zip((n, k1, k2), _identity(found), strict=True):
+                    column.append(value)
                 sig.append(signature(found) if len(found) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "k1": k1, "k2": k2, "sig": sig})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "n": n, "k1": k1, "k2": k2, "sig": sig})
 
     return run
 
@@ -111,31 +117,46 @@ def _crowded(batches):
         yield rows(held, True)[0][["tree", "region", "rep", "prev"]]
 
 
-#: Bits of the map of document ids by which texts are sifted before they are shuffled: 4 MB at most, however many ids.
+#: Bits of the map of row keys by which texts are sifted before they are shuffled: 4 MB at most, however many rows.
 SIFT_BITS = 1 << 25
+CLASS = ["n", "k1", "k2"]
 
 
-def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is in ``ids``, which are distinct. A bitmap of hashed ids, of a fixed size,
-    keeps most other texts out of the shuffle; the join that follows is exact, so a full bitmap costs time only. Ids are
-    dealt out by bucket first, as a partial bitmap in every task would be larger than its ids; an inner join stays above
-    the bitmap's, where a left semi join would be pushed below it."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIFT_BITS))
-    maps = ids.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("place")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map"))
+def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``documents`` (key, text) whose key is in ``wanted``, with the columns of both. A bitmap of hashed keys, of a
+    fixed size, keeps most other texts out of the shuffle; the join that follows is exact, so a full bitmap costs time
+    only. Keys are dealt out by bucket first, as a partial bitmap in every task would be larger than its keys; an inner
+    join stays above the bitmap's, where a left semi join would be pushed below it."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(SIFT_BITS))
+    maps = wanted.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("place")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map"))
     sifted = documents.withColumns({"bucket": F.bitmap_bucket_number(bit), "place": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "bucket")
     held = F.expr("shiftright(CAST(conv(hex(substring(map, CAST(place DIV 8 AS int) + 1, 1)), 16, 10) AS int), CAST(place % 8 AS int)) & 1") == 1
-    return sifted.filter(held).select(*documents.columns).join(ids, "doc_id")
+    return sifted.filter(held).select("key", "text").join(wanted, "key")
 
 
 def _sets(size: int):
+    """Sets of texts, for those that are of the class they are wanted for: two rows may share a key."""
+
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["doc_id"], "found": [shingles(t, size, hashes).tobytes() for t in batch["text"]]})
+            reps, out = [], []
+            for rep, text, *own in zip(*(batch[c] for c in ("rep", "text", *CLASS)), strict=True):
+                found = shingles(text, size, hashes)
+                if _identity(found) == tuple(own):
+                    reps.append(rep)
+                    out.append(found.tobytes())
+            yield pd.DataFrame({"rep": pd.Series(reps, dtype="int64"), "found": out})
 
     return run
 
 
+def _sets_of(documents: DataFrame, classes: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(rep, found): the set of each class in ``reps`` once, however many rows its chosen text has."""
+    found = _texts_of(documents, classes.drop("sig").join(reps, "rep")).mapInPandas(_sets(size), "rep long, found binary")
+    return found.groupBy("rep").agg(F.any_value("found").alias("found"))
+
+
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
@@ -150,10 +171,10 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. A pair carries one set through each of two joins."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = materialize(_texts_of(documents, ids).mapInPandas(_sets(size), "rep long, found binary"), f"{name}-sets")
+    reps = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
+    sets = materialize(_sets_of(documents, classes, reps, size), f"{name}-sets")
     both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("found").alias("b")), "v")
     links = materialize(both.mapInPandas(_confirm(percent), "u long, v long").distinct(), f"{name}-links")
     discard(sets)
@@ -255,9 +276,7 @@ def _linked(percent: int):
     """Confirmed links of a block pair that join components; pairs that earlier links have joined need no look."""
 
     def handle(key: tuple, part: dict) -> list[tuple]:
-        sets: dict[int, list[np.ndarray]] = {}  # one set for each text of an id
-        for r, f in zip(part["rep"].tolist(), part["found"], strict=True):
-            sets.setdefault(r, []).append(np.frombuffer(f, dtype=np.uint64))
+        sets = {r: np.frombuffer(f, dtype=np.uint64) for r, f in zip(part["rep"].tolist(), part["found"], strict=True)}
         comp = dict(zip(part["rep"].tolist(), part["comp"].tolist(), strict=True))
         root = {c: c for c in comp.values()}
 
@@ -270,7 +289,7 @@ def _linked(percent: int):
         for r, packed in zip(part["rep"].tolist(), part["partners"], strict=True):
             for other in np.frombuffer(packed, dtype="<i8").tolist():
                 a, b = find(comp[r]), find(comp[other])
-                if a != b and any(_similar(x, y, percent) for x in sets[r] for y in sets[other]):
+                if a != b and _similar(sets[r], sets[other], percent):
                     root[max(a, b)] = min(a, b)
                     out.append((r, other))
         return out
@@ -308,48 +327,84 @@ def _best_pairs(trees: DataFrame, sigs: DataFrame, comps: DataFrame, percent: in
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _rest(trees: DataFrame, sigs: DataFrame, comps: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+def _rest(trees: DataFrame, sigs: DataFrame, comps: DataFrame, documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between components, from all regions of all trees; sets go to blocks, not to pairs."""
     kept = "rep long, comp long, partners binary, tree int, region long, kind int, p long, q long"
     asked = materialize(_of_blocks(_blocks(trees, sigs, comps), _candidates(percent), kept), "minhash-asked")
-    ids = asked.select(F.col("rep").alias("doc_id")).distinct()
-    sets = _texts_of(documents, ids).mapInPandas(_sets(size), "rep long, found binary")
-    return materialize(_of_blocks(asked.join(sets, "rep"), _linked(percent), "u long, v long"), "minhash-rest")
+    sets = _sets_of(documents, classes, asked.select("rep").distinct(), size)
+    links = materialize(_of_blocks(asked.join(sets, "rep"), _linked(percent), "u long, v long"), "minhash-rest")
+    discard(asked)
+    return links
 
 
-def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``documents``; links at Jaccard >= percent / 100.
-
-    Null texts and texts without words have no shingles and link with nothing; equal sets are one set; rows that share a
-    doc_id are one node; a row whose doc_id is null links with nothing, has no component and is kept; an empty table
-    gives an empty result; other columns are not read."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInPandas(_sign(size), SIGNED), "minhash-signed")
-    usable = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("least")).select("k1", "k2", "n", F.col("least.doc_id").alias("rep"), F.col("least.sig").alias("sig")), "minhash-classes")
+def _forest(documents: DataFrame, size: int, percent: int, null_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """(members, links): each row of ``documents`` as (doc_id, key, n, rep), key being a hash of id and text and rep the row's
+    class of equal sets (null: no words, or no id unless ``null_ids``); and edges (u, v) that connect similar classes."""
+    docs = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    signed = ids_back(materialize(docs.mapInPandas(_sign(size), SIGNED), "minhash-signed"), "doc_id")
+    docs = docs.select("key", "text")
+    usable = signed.filter("n > 0") if null_ids else signed.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = usable.groupBy(*CLASS).agg(F.min(F.struct("key", "sig")).alias("least")).select(F.monotonically_increasing_id().alias("rep"), *CLASS, F.col("least.key").alias("key"), F.col("least.sig").alias("sig"))
+    classes = materialize(classes, "minhash-classes")  # numbered once: what is written does not change
+    of_class = F.struct(*(F.when(F.lit(null_ids) | F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in CLASS))
+    members = materialize(signed.select("doc_id", "key", "n", of_class.alias("c")).join(classes.select(F.struct(*CLASS).alias("c"), "rep"), "c", "left").select("doc_id", "key", "n", "rep"), "minhash-members")
+    discard(signed)
     forest = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("key"), "rep")
     order = forest.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     # a region is known by the hash of its prefix: two that share one are compared together, which loses nothing
     trees = materialize(order.select("tree", F.xxhash64(F.substring("key", 1, 4 * LEAST_DEPTH)).alias("region"), "rep").mapInPandas(_crowded, CROWDED), "minhash-trees")
-    sigs = materialize(classes.select("rep", "sig").join(trees.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min("sig").alias("sig")), "minhash-sigs")
+    sigs = materialize(classes.select("rep", "sig").join(trees.select("rep").distinct(), "rep", "left_semi"), "minhash-sigs")
     near = trees.select(F.greatest("rep", "prev").alias("u"), F.least("rep", "prev").alias("v")).filter("u > v")
     best = near.groupBy("u", "v").count().groupBy("u").agg(F.max(F.struct("count", -F.col("v"))).alias("b")).select("u", (-F.col("b.col2")).alias("v"))
-    links = _confirmed(materialize(best, "minhash-best"), docs, size, percent, "minhash-first")
+    links = _confirmed(materialize(best, "minhash-best"), docs, classes, size, percent, "minhash-first")
     comps = connected_components(links, "minhash-cc").select(F.col("node").alias("rep"), "component")
     best = materialize(_best_pairs(trees.filter(F.col("tree") < FIRST_TREES), sigs, comps, percent), "minhash-best")
     links = comps.select(F.col("rep").alias("u"), F.col("component").alias("v"))  # as stars, to which more links are added
     if not best.isEmpty():
-        comps = connected_components(links.union(_confirmed(best, docs, size, percent, "minhash-second")), "minhash-cc").select(F.col("node").alias("rep"), "component")
+        comps = connected_components(links.union(_confirmed(best, docs, classes, size, percent, "minhash-second")), "minhash-cc").select(F.col("node").alias("rep"), "component")
         links = comps.select(F.col("rep").alias("u"), F.col("component").alias("v"))
-    links = links.union(_rest(trees, sigs, comps, docs, size, percent))
-    # rows of one doc_id with different texts are one node: an edge from each class that holds the id to the class's least id
-    same = usable.groupBy("doc_id").agg(F.count_distinct("k1", "k2", "n").alias("sets")).filter("sets > 1").join(usable, "doc_id").join(classes.drop("sig"), ["k1", "k2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    return members, links.union(_rest(trees, sigs, comps, docs, classes, size, percent))
+
+
+def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``documents``; links at Jaccard >= percent / 100.
+
+    Null texts and texts without words have no shingles and link with nothing; equal sets are one set; rows that share a
+    doc_id are one node, whatever their texts; a row whose doc_id is null links with nothing, has no component and is
+    kept; an empty table gives an empty result; other columns are not read."""
+    members, links = _forest(documents, size, percent, null_ids=False)
+    of_id = members.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).filter("v < w").select("doc_id", "v")
+    same = members.join(of_id, "doc_id").filter("rep > v").select(F.col("rep").alias("u"), "v")
     comps = connected_components(links.union(same), "minhash-cc").select(F.col("node").alias("rep"), "component")
-    known = classes.drop("sig").join(comps, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    members = signed.drop("sig").join(known, ["k1", "k2", "n"], "left")
-    return members.select(
+    least = members.filter("rep IS NOT NULL").groupBy("rep").agg(F.min("doc_id").alias("least")).join(comps, "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
+    named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("rep", "component_id")
+    return members.join(named, "rep", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        (component := F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))).alias("component_id"),
+        (component := F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))).alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents``, with all their columns, of which one stays of each group of linked texts.
+
+    Here each row is a node of its own: rows that share an id but not a text are judged by their texts, and rows without an
+    id as any other. The one that stays has the least id (a null id is the greatest), then the least hash of its text; of
+    rows equal in both, one. Null texts and texts without words link with nothing and all stay. No column is added, so
+    names do not clash; an empty table gives an empty result."""
+    members, links = _forest(documents, size, percent, null_ids=True)
+    comps = connected_components(links, "minhash-cc").select(F.col("node").alias("rep"), "component")
+    rows = members.filter("rep IS NOT NULL").groupBy("rep", "doc_id", "key").agg(F.count("*").alias("n")).join(comps, "rep", "left")
+    rows = rows.select(F.coalesce("component", "rep").alias("component"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row"), "n")
+    first = rows.groupBy("component").agg(F.min("row").alias("first"))
+    judged = rows.join(first, "component").select(F.col("row.doc_id").alias("d"), F.col("row.key").alias("k"), "n", (F.col("row") == F.col("first")).alias("stays")).filter("n > 1 OR NOT stays")
+    judged = materialize(judged, "minhash-judged")
+    own = documents["doc_id"].cast("long")
+    of_row = own.eqNullSafe(F.col("d")) & (F.xxhash64(own.cast("string"), documents["text"].cast("string")) == F.col("k"))
+    single = documents.join(judged, of_row, "left_anti")
+    repeated = judged.filter("stays")
+    if repeated.isEmpty():
+        return single
+    return single.union(documents.join(repeated, of_row, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -18,26 +18,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import ids_back, materialize
 
 WINDOW = 2048
 END = 1
 OPEN = 64
 #: Tasks whose leftovers are merged together: at most OPEN * MERGED windows of WINDOW ids in one group.
 MERGED = 8
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Document ids are strings in Python, where a column of numbers with a null would be one of doubles.
+PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OPENED = PIECE + ", task int, ids binary"
 
 
+def _file(name: str) -> str:
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @functools.cache
 def _encoder(vocabulary: str, ranks: str | None):
     """A function from a text to its ids as a numpy array, without special tokens added.
 
     With ``ranks`` (the same byte-level vocabulary as merge ranks) the ids come from the faster of the two libraries;
-    a text that holds a special token's string, which only the vocabulary file knows, is always encoded from that file."""
+    a text that holds a special token's string, which only the vocabulary file knows, is always encoded from that file.
+    Names without a folder are those of public vocabularies and are found where the task runs."""
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary)
+    whole = Tokenizer.from_file(_file(vocabulary))
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def plain(text: str) -> np.ndarray:
@@ -48,7 +58,7 @@ def _encoder(vocabulary: str, ranks: str | None):
     import public_tokenizers
     import tiktoken
 
-    with open(ranks, "rb") as lines:
+    with open(_file(ranks), "rb") as lines:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
@@ -105,7 +115,7 @@ class _Packer:
 
 def _frame(rows: list[tuple], task: int | None = None) -> pd.DataFrame:
     names = [x.split()[0] for x in PIECE.split(", ")]
-    frame = pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype="Int64" if name == "doc_id" else "int64") for i, name in enumerate(names)})
+    frame = pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype="object" if name == "doc_id" else "int64") for i, name in enumerate(names)})
     return frame if task is None else frame.assign(task=np.int32(task), ids=None)
 
 
@@ -119,8 +129,7 @@ def _pack(vocabulary: str, ranks: str | None, end: int, window: int, most_open:
         encode, task = _encoder(vocabulary, ranks), TaskContext.get().partitionId()
         packer = _Packer(window, most_open, _numbers(task))
         for batch in batches:
-            ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
-            for doc, text in zip(ids, batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 packer.add(doc, np.append(encode(text or ""), np.uint32(end)).astype("<u4"))
                 if len(packer.out) > 20_000:
                     yield _frame(packer.taken(), task)
@@ -128,7 +137,7 @@ def _pack(vocabulary: str, ranks: str | None, end: int, window: int, most_open:
         left = [p for pieces in packer.held.values() for p in pieces]
         yield pd.DataFrame(
             {
-                "doc_id": pd.Series([p[0] for p in left], dtype="Int64"), "start": [p[1] for p in left], "length": [len(p[2]) for p in left], "ids_crc32": 0,
+                "doc_id": pd.Series([p[0] for p in left], dtype="object"), "start": [p[1] for p in left], "length": [len(p[2]) for p in left], "ids_crc32": 0,
                 "doc_tokens": [p[3] for p in left], "sequence_id": -1, "offset": 0, "task": task, "ids": [p[2].tobytes() for p in left],
             }
         )
@@ -144,7 +153,7 @@ def _merge(window: int):
         left = left.sort_values(["task", "doc_id", "start"], kind="stable")
         pieces, room = [], window
         for doc, start, n, ids in zip(left["doc_id"], left["start"], left["doc_tokens"], left["ids"], strict=True):
-            doc, ids = None if pd.isna(doc) else int(doc), np.frombuffer(ids, dtype="<u4")
+            ids = np.frombuffer(ids, dtype="<u4")
             while len(ids):
                 pieces.append((doc, start, ids[:room], n))
                 start, ids, room = start + len(pieces[-1][2]), ids[room:], room - len(pieces[-1][2])
@@ -165,8 +174,8 @@ def pack(documents: DataFrame, vocabulary: str, ranks: str | None = None, end: i
     other columns are not read; an empty table gives no piece. Every id lies in one piece, and pieces fill a sequence
     without gaps from 0. Sequences hold ``window`` ids at most; a task keeps ``most_open`` windows, whatever it reads,
     and leftovers (only these carry ids through a shuffle) are merged in groups of MERGED tasks."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = materialize(rows.mapInPandas(_pack(vocabulary, ranks, end, window, most_open), OPENED), "packed")
     done = packed.filter("sequence_id >= 0").drop("task", "ids")
     left = packed.filter("sequence_id < 0").withColumn("merge", F.floor(F.col("task") / MERGED).cast("int"))
-    return done.unionByName(left.groupBy("merge").applyInPandas(_merge(window), PIECE))
+    return ids_back(done.unionByName(left.groupBy("merge").applyInPandas(_merge(window), PIECE)), "doc_id")

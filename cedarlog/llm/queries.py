@@ -51,9 +51,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

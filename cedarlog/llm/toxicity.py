@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES
+from .common import LOWER_BYTES, discard, ids_back, materialize
 
 SIZES = (3, 4, 5, 6)
 SLOTS = 1 << 21
@@ -76,8 +76,8 @@ def _rows(sizes, slots, chosen: np.ndarray):
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, rounds: int = 200, l2: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and a bias, by full-batch Adam on the log loss."""
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    col = np.concatenate([*rows, np.empty(0, dtype="<i4")]).astype(np.int64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
+    col = np.concatenate([*rows, np.empty(0, dtype="<i4")])
     w, b = np.zeros(len(r)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v, n = np.zeros(len(r) + 1), np.zeros(len(r) + 1), max(1, len(y))
     for t in range(1, rounds + 1):
@@ -128,18 +128,29 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_BOUND
     known = labels.filter(f"toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS string)) % {folds} != 0")
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    counts = texts.mapInPandas(_counts(sizes, slots), "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = materialize(texts.mapInPandas(_counts(sizes, slots), "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
     total = counts.filter("slot < 0").first()
     n0, n1 = (total["clean"], total["toxic"]) if total else (0, 0)
     if not n0 or not n1:
         return ToxicityModel(sizes, slots, np.empty(0, dtype=np.int64), np.empty(0), float(np.log((n1 + 1) / (n0 + 1))))
     p, q = (F.col("toxic") + 1) / (n1 + 2), (F.col("clean") + 1) / (n0 + 2)
     held, entries = F.col("toxic") + F.col("clean"), ENTRIES * (n0 + n1)
-    ranked = counts.filter("slot >= 0").filter(held >= LEAST_TEXTS).orderBy(F.round(_association(n0, n1), 9).desc(), "slot").limit(entries // LEAST_TEXTS)
-    chosen = ranked.select("slot", held.alias("held"), F.log(p / q).alias("r")).toPandas()
-    chosen = chosen[chosen["held"].cumsum() <= entries].sort_values("slot")
+    ranked = counts.filter("slot >= 0").filter(held >= LEAST_TEXTS).select("slot", held.alias("held"), F.log(p / q).alias("r"), F.round(_association(n0, n1), 9).alias("rank"))
+    # whole bands of the statistic while their entries fit, then the first slots of the next band; only these come to the driver
+    band, left, cut = F.floor(F.log1p(F.greatest("rank", F.lit(0.0))) * 64), entries, None
+    for row in sorted(ranked.groupBy(band.alias("band")).agg(F.sum("held").alias("held")).collect(), key=lambda r: -r["band"]):
+        cut = row["band"]
+        if row["held"] > left:
+            break
+        left -= row["held"]
+    chosen = pd.DataFrame({"slot": [], "held": [], "r": [], "rank": []})
+    if cut is not None:
+        whole, part = ranked.filter(band > cut), ranked.filter(band == cut).orderBy(F.desc("rank"), "slot").limit(max(1, left // LEAST_TEXTS))
+        chosen = pd.concat([whole.toArrow().to_pandas(), part.toArrow().to_pandas()]).sort_values(["rank", "slot"], ascending=[False, True])
+        chosen = chosen[chosen["held"].cumsum() <= entries].sort_values("slot")
+    discard(counts)
     at = chosen["slot"].to_numpy(dtype=np.int64)
-    rows = texts.mapInPandas(_rows(sizes, slots, at), "toxic int, at binary").toPandas()
+    rows = texts.mapInPandas(_rows(sizes, slots, at), "toxic int, at binary").toArrow().to_pandas()
     weights, bias = _logistic([np.frombuffer(x, dtype="<i4") for x in rows["at"]], rows["toxic"].to_numpy(dtype=float), chosen["r"].to_numpy())
     return ToxicityModel(sizes, slots, at, weights, bias)
 
@@ -158,8 +169,8 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, folds: int = FOLD
 
     Null and empty texts get the score of a text without features; a null id is not held out; repeated rows give
     repeated results; other columns are not read."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(f"coalesce(crc32(CAST(doc_id AS string)) % {folds} = 0, false)").alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInPandas(_score(model), "doc_id long, held_out boolean, score double")
+    rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.expr(f"coalesce(crc32(CAST(doc_id AS string)) % {folds} = 0, false)").alias("held_out"), F.col("text").cast("string").alias("text"))
+    scored = ids_back(rows.mapInPandas(_score(model), "doc_id string, held_out boolean, score double"), "doc_id")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
