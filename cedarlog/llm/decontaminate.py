@@ -39,8 +39,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, with all their columns. Rows are known by id and text, so rows
     without an id and repeated rows are judged too, and alike. Only keys of contaminated rows are joined with texts."""
-    found = contamination(documents.select("doc_id", "text"), benchmark, **options).filter("contaminated").select("doc_id", "key").distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(documents["text"]) == found["key"]), "left_anti")
+    found = contamination(documents.select("doc_id", "text"), benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("id"), F.col("key").alias("hash")).distinct()
+    return documents.join(found, documents["doc_id"].eqNullSafe(found["id"]) & (F.xxhash64(documents["text"]) == found["hash"]), "left_anti")
 
 
 def _spot(n: int) -> str:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, ids_back, materialize
 
 PROJECTIONS = 24
 #: Mean classes of a cell, and most classes of a block of a cell that is larger.
@@ -122,8 +122,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
     nobody and is kept; an empty table gives an empty result; other columns (labels too) are not read. Cells of more
     than BLOCK classes are cut into blocks that meet in pairs; a block returns sums and a spanning star for each of its
     vectors, not its pairs."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    known = materialize(rows.mapInPandas(_classes, "vec_id long, v binary"), "vectors")
+    rows = embeddings.select(F.col("vec_id").cast("long").cast("string").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    known = ids_back(materialize(rows.mapInPandas(_classes, "vec_id string, v binary"), "vectors"), "vec_id")
     usable = known.filter("vec_id IS NOT NULL AND v IS NOT NULL")
     classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "vector-classes")
     signs, dealings, width, least = plan(classes.count(), cosine)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ids_back
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 RAW = frozenset("script style noscript template textarea title iframe object svg math select option button canvas audio video xmp noembed noframes".split())
 ASIDE = frozenset("nav header footer aside form menu dialog figure".split()) - {"figure"}
@@ -204,5 +206,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives the empty text; null ids and urls are kept; repeated rows give repeated results; further
     columns are not read. A page is held whole in one task, as any row is."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return rows.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    return ids_back(rows.mapInPandas(_extract, "page_id string, url string, text string, n_chars long"), "page_id")

@@ -2,7 +2,7 @@
 
 The trie is never held whole by anything: texts are dealt into blocks of bounded size by their place in the input; a
 block asks for its distinct (context, symbol) pairs and words, with its own training counts of them; the counts are
-summed over all blocks; probabilities are worked out for pairs that share their nearest two bytes together; and each
+summed over all blocks; probabilities are worked out for pairs that share their nearest three bytes together; and each
 block gets back exactly what it asked for. So traffic grows in proportion to the input, and no part with the model.
 """
 
@@ -13,11 +13,12 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
-from .common import discard, materialize
+from .common import discard, ids_back, materialize
 
 FOLDS = 10
 #: Bytes of text in a block, about.
@@ -25,6 +26,8 @@ BLOCK = 32 << 20
 CHUNK = 1 << 21
 #: Bytes of text that are scored at a time.
 SCORED = 1 << 19
+#: Pairs whose values are worked out at a time, about; most counts of three bytes that go to every task (16 bytes each).
+LOOKED_UP, LOW_BOUND = 200_000, 4_000_000
 END = b" "  # no word has a space
 
 
@@ -134,10 +137,33 @@ def _ask(order: int):
     return run
 
 
-def _lengths(order: int, pairs: np.ndarray):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        keys = part["key"].to_numpy()
-        return pd.DataFrame({"key": keys, "value": ppm.code_lengths(keys, part["n"].to_numpy(), pairs, order)})
+def _lengths(order: int, low: ppm.LowOrders):
+    """Values of pairs that come sorted by their nearest bytes, some hundred thousand at a time; only pairs that share all of
+    these bytes have to come together."""
+
+    def frame(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held)
+        keys = rows["key"].to_numpy()
+        return pd.DataFrame({"key": keys, "value": ppm.code_lengths(keys, rows["n"].to_numpy(), low, order)})
+
+    def run(batches):
+        held, size, last = [], 0, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            near = batch["near"].to_numpy()
+            start = int(np.searchsorted(near, near[-1]))  # of the group that may go on
+            if start or near[0] != last:
+                if start:
+                    held.append(batch.iloc[:start])
+                    size += start
+                if held and size >= LOOKED_UP:
+                    yield frame(held)
+                    held, size = [], 0
+            held.append(batch.iloc[start:])
+            size, last = size + len(near) - start, near[-1]
+        if held:
+            yield frame(held)
 
     return run
 
@@ -173,36 +199,60 @@ def _score(order: int, tokens: int, kinds: int):
     return run
 
 
-def score_texts(documents: DataFrame, order: int = ppm.ORDER, folds: int = FOLDS, block_bytes: int = BLOCK) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``documents``.
+def _blocks(documents: DataFrame, block_bytes: int) -> DataFrame:
+    """``documents`` (doc_id, text) with a number of the block that a row is dealt to, by its place in its file.
 
-    Texts are modelled lower-cased (A-Z), as words are, and with their end. Rows whose crc32(doc_id as text) mod
-    ``folds`` is 0 teach nothing. Null texts are empty; a null id is not held out; repeated rows count as often as they
-    occur; an empty table gives an empty result; other columns are not read. The driver gets the table of byte pairs
-    (SYMBOLS squared at most) and two totals."""
+    Rows are dealt by classes of size, so that a block has about ``block_bytes`` on average and never many times as many, also
+    where long texts come in a run: a block of a class spans as many places as hold its share, or fewer."""
     try:
         documents.select("_metadata.row_index")
-    except Exception:  # not a plain scan of files: only those know a row's place
+    except AnalysisException:  # not a plain scan of files: only those know a row's place
         documents = materialize(documents.select("doc_id", "text"), "lm-texts")
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    size = F.floor(F.log2(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1)).cast("int")
+    rows = documents.select("doc_id", "text", size.alias("size"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    sizes = rows.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).collect()  # 32 rows at most
+    n = sum(r["n"] for r in sizes)
+    spans = {r["size"]: max(1, min(n * block_bytes // max(1, r["bytes"] or 0), 4 * block_bytes >> r["size"] + 1)) for r in sizes}
+    # small classes share their blocks
+    total = max(1, sum(r["bytes"] or 0 for r in sizes))
+    minor = {r["size"] for r in sizes if (r["bytes"] or 0) < total / 8 and 2 << r["size"] <= block_bytes // 64}
+    span, kind = F.lit(1), F.col("size")
+    for k, v in spans.items():
+        v = max(1, min(v, 4 * block_bytes >> max(minor) + 1, n * block_bytes // max(1, sum(r["bytes"] or 0 for r in sizes if r["size"] in minor)))) if k in minor else v
+        span = F.when(F.col("size") == k, v).otherwise(span)
+    kind = F.when(F.col("size").isin(list(minor)), -1).otherwise(kind) if minor else kind
+    return rows.select("doc_id", "text", F.xxhash64("file", kind, F.floor(F.col("place") / span)).alias("block"))
+
+
+def score_texts(documents: DataFrame, order: int = ppm.ORDER, folds: int = FOLDS, block_bytes: int = BLOCK, low_bound: int = LOW_BOUND) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``documents``.
+
+    Texts are modelled lower-cased (A-Z), as words are, and with their end. Rows whose crc32(doc_id as text) mod
+    ``folds`` is 0 teach nothing. Null texts are empty; a null id is not held out; repeated rows count as often as they
+    occur; an empty table gives an empty result; other columns are not read. The driver gets two totals and the counts of
+    the lowest orders, which go to every task: of three bytes if there are at most ``low_bound`` of them (they are counted
+    first), else of two, of which there are SYMBOLS squared at most; both give the same values."""
+    rows = _blocks(documents.select("*"), block_bytes).select(
+        F.col("doc_id").cast("long").cast("string").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False)).alias("held_out"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("place"),
+        "block",
     )
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    per_block = max(1, round(block_bytes * size["n"] / max(1, size["bytes"] or 0)))
-    rows = rows.select("doc_id", "text", "held_out", F.xxhash64("file", F.floor(F.col("place") / per_block)).alias("block"))
     asked = materialize(rows.select("block", "held_out", "text").mapInPandas(_ask(order), "block long, key long, n long"), "lm-asked")
     summed = materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "lm-summed")
     total = summed.filter("key < 0").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
-    nearest = (1 << 2 * ppm.BITS) - 1
-    pairs = summed.filter("key >= 0").groupBy(F.col("key").bitwiseAND(nearest).alias("key")).agg(F.sum("n").alias("n")).toPandas()
-    pairs = ppm.low_orders(pairs["key"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.int64))
-    lengths = summed.filter("key >= 0").groupBy(F.shiftright("key", ppm.BITS).bitwiseAND(nearest).alias("near")).applyInPandas(_lengths(order, pairs), "key long, value double")
+    pairs = summed.filter("key >= 0")
+    least = min(3, order)
+    counts = materialize(pairs.groupBy(F.col("key").bitwiseAND(ppm.mask(least - 1)).alias("key")).agg(F.sum("n").alias("n")), "lm-low")
+    if counts.count() > low_bound and least > 2:
+        least = 2
+        counts = counts.groupBy(F.col("key").bitwiseAND(ppm.mask(least - 1)).alias("key")).agg(F.sum("n").alias("n"))
+    low = counts.toArrow()
+    low = ppm.low_orders(low["key"].to_numpy(), low["n"].to_numpy(), least)
+    near = F.shiftright("key", ppm.BITS).bitwiseAND((1 << least * ppm.BITS) - 1)
+    lengths = pairs.select("key", "n", near.alias("near")).repartition("near").sortWithinPartitions("near").mapInPandas(_lengths(order, low), "key long, value double")
     values = materialize(lengths.union(summed.filter("key < 0").select("key", F.col("n").cast("double"))), "lm-values")
     discard(summed)
     given = asked.select("block", "key").join(values, "key").select("block", "key", "value")
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(given.groupBy("block")).applyInPandas(_score(order, total["n"] or 0, total["kinds"] or 0), result)
+    result = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return ids_back(rows.groupBy("block").cogroup(given.groupBy("block")).applyInPandas(_score(order, total["n"] or 0, total["kinds"] or 0), result), "doc_id")

@@ -402,7 +402,7 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80)
     judged = rows.join(first, "component").select(F.col("row.doc_id").alias("d"), F.col("row.key").alias("k"), "n", (F.col("row") == F.col("first")).alias("stays")).filter("n > 1 OR NOT stays")
     judged = materialize(judged, "minhash-judged")
     own = documents["doc_id"].cast("long")
-    of_row = own.eqNullSafe(F.col("d")) & (F.xxhash64(own.cast("string"), documents["text"].cast("string")) == F.col("k"))
+    of_row = own.eqNullSafe(judged["d"]) & (F.xxhash64(own.cast("string"), documents["text"].cast("string")) == judged["k"])
     single = documents.join(judged, of_row, "left_anti")
     repeated = judged.filter("stays")
     if repeated.isEmpty():

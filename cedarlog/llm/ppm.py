@@ -47,18 +47,37 @@ def _sums(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return at[first], np.add.reduceat(n, first) if len(at) else n[:0], np.cumsum(np.concatenate([[0], (at[1:] != at[:-1]).astype(np.int64)])) if len(at) else at
 
 
-def low_orders(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Counts of symbol after byte, a table of SYMBOLS x SYMBOLS, from counts of packed pairs of order 1 or more."""
-    out = np.zeros((SYMBOLS, SYMBOLS), dtype=np.int64)
-    np.add.at(out, ((keys >> BITS) & 511, keys & 511), n)
-    return out
+class LowOrders:
+    """Counts of the orders below ``least``, from counts of packed pairs of order ``least`` - 1 or more: at most SYMBOLS to the
+    power of ``least`` pairs, however large the corpus."""
 
+    def __init__(self, keys: np.ndarray, n: np.ndarray, least: int):
+        self.least, self.tables = least, []
+        for j in range(least):
+            by = np.argsort(part := keys & mask(j), kind="stable")
+            pairs, count, _ = _sums(part[by], n[by])
+            contexts, total, _ = _sums(pairs >> BITS, count)
+            self.tables.append((pairs, count, contexts, total, _sums(pairs >> BITS, (count > 0).astype(np.int64))[1]))
 
-def code_lengths(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = ORDER, least: int = 2) -> np.ndarray:
-    """log10 probability of each packed pair, given all pairs that share its nearest ``least`` bytes.
+    def counts(self, keys: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of the pair, sum and number of kinds of its context) at order ``j`` for each packed pair."""
+        pairs, count, contexts, total, kinds = self.tables[j]
+        part = keys & mask(j)
+        if not len(pairs):
+            return (np.zeros(len(keys), dtype=np.int64),) * 3
+        at, up = np.minimum(np.searchsorted(pairs, part), len(pairs) - 1), np.minimum(np.searchsorted(contexts, part >> BITS), len(contexts) - 1)
+        known = contexts[up] == part >> BITS
+        return np.where(pairs[at] == part, count[at], 0), np.where(known, total[up], 0), np.where(known, kinds[up], 0)
 
-    n: training counts (0: the pair only occurs in texts that are scored). pairs: table of ``low_orders``, which stands
-    for the orders below ``least``."""
+
+def low_orders(keys: np.ndarray, n: np.ndarray, least: int = 3) -> LowOrders:
+    return LowOrders(keys, n, least)
+
+
+def code_lengths(keys: np.ndarray, n: np.ndarray, low: LowOrders, order: int = ORDER) -> np.ndarray:
+    """log10 probability of each packed pair, given all pairs that share its nearest bytes, as many as ``low`` has orders.
+
+    n: training counts (0: the pair only occurs in texts that are scored). low: stands for the orders below."""
     logp, open_ = np.zeros(len(keys)), np.ones(len(keys), dtype=bool)
     seen_above = np.zeros(len(keys), dtype=np.int64)  # distinct symbols of the next longer context
     mass_above = None
@@ -67,22 +86,17 @@ def code_lengths(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int
             left = SYMBOLS - seen_above
             logp -= np.where(open_, np.log10(np.maximum(left, 1)), 0)
             break
-        if j >= least:
+        if j >= low.least:
             # sort by this order's context and symbol
             part = keys & mask(j)
-            by = np.argsort((part >> BITS) * 512 + (part & 511), kind="stable")
-            pair, count, place = _sums(((part >> BITS) * 512 + (part & 511))[by], n[by])
-            ctx, total, where = _sums(pair >> 9, count)
-            _, kinds, _ = _sums(pair >> 9, (count > 0).astype(np.int64))
+            by = np.argsort(part, kind="stable")
+            pair, count, place = _sums(part[by], n[by])
+            _, total, where = _sums(pair >> BITS, count)
+            _, kinds, _ = _sums(pair >> BITS, (count > 0).astype(np.int64))
             own, tot, dist = (np.empty(len(keys), dtype=np.int64) for _ in range(3))
             own[by], tot[by], dist[by] = count[place], total[where][place], kinds[where][place]
         else:
-            c, s = (keys >> BITS) & 511, keys & 511
-            if j == 1:
-                own, tot, dist = pairs[c, s], pairs.sum(axis=1)[c], (pairs > 0).sum(axis=1)[c]
-            else:
-                zero = pairs.sum(axis=0)
-                own, tot, dist = zero[s], np.full(len(keys), zero.sum()), np.full(len(keys), (zero > 0).sum())
+            own, tot, dist = low.counts(keys, j)
         # what the longer context has seen is excluded: its symbols' counts here do not take part
         if mass_above is None:
             rest, kinds_left = tot, dist

@@ -18,18 +18,21 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, parts
+from .common import discard, ids_back, materialize, mix64, parts
 
 LENGTH, GRAM = 400, 128
 STEPS = (16, 1)
 SEGMENT = 1 << 20
+CUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 ROW = "k long, h long, a long, r0 int, r1 int, bucket long, b int, inner long, whole long, settled boolean"
 
 _RANDOM = np.random.default_rng(400128)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Of the rolling hash by which anchors are chosen; strings are told apart by hashes of their bytes.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -46,20 +49,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-class _Text:
-    """Hashes of any substrings of a piece of bytes from the prefix sums of a polynomial."""
+def _grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Rolling hashes of all q-grams of ``size`` bytes, from the prefix sums of a polynomial."""
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    n = len(sums) - size
+    return mix64((sums[size:] - sums[:n]) * down[:n])
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data))
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-    def grams(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n])
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from each start to each end, which no structure of a text makes collide."""
+    view = memoryview(data)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), dtype=np.uint64, count=len(start))
 
 
 def _marked(h: np.ndarray, r0: np.ndarray, r1: np.ndarray) -> np.ndarray:
@@ -68,8 +70,7 @@ def _marked(h: np.ndarray, r0: np.ndarray, r1: np.ndarray) -> np.ndarray:
 
 def _runs(data: np.ndarray, good: np.ndarray, length: int, gram: int):
     """(anchor, first start, last start, bucket, whole) of each run of strings with the same anchor; good: valid starts."""
-    text = _Text(data)
-    grams = text.grams(gram)
+    grams = _grams(data, gram)
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     width, span = length - gram + 1, 1
     while 2 * span <= width:
@@ -82,7 +83,7 @@ def _runs(data: np.ndarray, good: np.ndarray, length: int, gram: int):
     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(anchor) != 0)) + 1
     first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut, [len(at)]]) - 1]
     anchor = anchor[np.concatenate([[0], cut])]
-    whole = _marked(text.hash(first, last + length), anchor - last, anchor - first)
+    whole = _marked(_digests(data, first, last + length), anchor - last, anchor - first)
     return anchor, first, last, grams[anchor].view(np.int64), whole
 
 
@@ -127,15 +128,15 @@ def _blocks(step: int, length: int):
     def rows(k, h, data: bytes, ranges: np.ndarray) -> pd.DataFrame:
         a, r0, r1, bucket, settled = ranges.T
         low = int((a - r1).min())
-        text = _Text(np.frombuffer(data[low : int((a - r0).max()) + length], dtype=np.uint8))
+        text = np.frombuffer(data[low : int((a - r0).max()) + length], dtype=np.uint8)
         counts = r1 // step - r0 // step + 1
         which = np.repeat(np.arange(len(a)), counts)
         b = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + (r0 // step)[which]
         a, r0, r1, bucket, settled = (x[which] for x in (a, r0, r1, bucket, settled))
         s0, s1 = np.maximum(r0, b * step), np.minimum(r1, b * step + step - 1)
         a_ = a - low
-        inner = text.hash(a_ - b * step, a_ - b * step - step + 1 + length).view(np.int64)
-        whole = _marked(text.hash(a_ - s1, a_ - s0 + length), s0, s1)
+        inner = _digests(text, a_ - b * step, a_ - b * step - step + 1 + length).view(np.int64)
+        whole = _marked(_digests(text, a_ - s1, a_ - s0 + length), s0, s1)
         return pd.DataFrame({"k": k, "h": h, "a": a, "r0": s0.astype(np.int32), "r1": s1.astype(np.int32), "bucket": bucket, "b": b.astype(np.int32), "inner": inner, "whole": whole, "settled": settled.astype(bool)})
 
     def run(batches):
@@ -159,8 +160,8 @@ def _blocks(step: int, length: int):
     return run
 
 
-def _refine(level: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(settled spans, ranges that stay open) of a level: counts of equal blocks, and of blocks with equal inner bytes."""
+def _refine(level: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(settled spans, ranges that stay open, classes that both read) of a level: counts of equal blocks, and of blocks with equal inner bytes."""
     key = ["bucket", "b", "inner"]
     classes = level.groupBy(*key, "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "a", "r0", "r1", "settled")).alias("one"))
     classes = materialize(classes, "substring-classes")
@@ -168,7 +169,7 @@ def _refine(level: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = classes.groupBy(*key).agg(F.count("*").alias("kinds"), F.max(open_).alias("open")).filter("kinds > 1 AND open").select(*key)
     stay = classes.join(groups, key).select("one.k", "one.h", "one.a", "one.r0", "one.r1", "bucket", (F.col("one.settled") | (F.col("n") > 1)).alias("settled"))
     spans = level.filter("NOT settled").join(classes.filter("n > 1").select(*key, "whole"), [*key, "whole"], "left_semi").select("k", "h", (F.col("a") - F.col("r1")).alias("lo"), (F.col("a") - F.col("r0")).alias("hi"))
-    return spans, stay
+    return spans, stay, classes
 
 
 def _cut(length: int):
@@ -177,25 +178,26 @@ def _cut(length: int):
             out = []
             for text, spans in zip(batch["text"], batch["spans"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                removed, runs, at, kept = 0, 0, 0, hashlib.sha256()
+                removed, runs, at, kept = 0, 0, 0, []
                 end = -1
                 for lo, hi in sorted((x["lo"], x["hi"] + length) for x in spans) if spans is not None else ():
                     if lo > end:
-                        kept.update(data[at:lo])
+                        kept.append(data[at:lo])
                         runs, at = runs + 1, lo
                         end = lo
                     if hi > end:
                         removed += hi - end
                         end = at = hi
-                kept.update(data[at:])
-                out.append((len(data), removed, runs, kept.hexdigest()))
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]]
+                left = b"".join([*kept, data[at:]])
+                out.append((len(data), removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")))
+            yield pd.DataFrame(out, columns=CUT[1:]).assign(doc_id=batch["doc_id"].to_numpy())[CUT]
 
     return run
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, steps: tuple[int, ...] = STEPS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``documents``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) for each row of ``documents``; text: what remains of it, where
+    a character that lost some of its bytes is a replacement mark.
 
     Null texts are empty; texts shorter than ``length`` bytes lose nothing; a string that occurs twice in one document
     or in two rows that are equal in all columns is repeated; null ids are kept; an empty table gives an empty result;
@@ -203,26 +205,34 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     spark = documents.sparkSession
     name, n = f"cedarlog_texts_{uuid.uuid4().hex}", parts(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
-    texts.repartition(n, "k", "h").write.bucketBy(n, "k", "h").option("compression", "zstd").saveAsTable(name)
-    table = spark.table(name)
+    texts = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("k"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    try:
+        texts.repartition(n, "k", "h").write.bucketBy(n, "k", "h").option("compression", "zstd").saveAsTable(name)
+        return ids_back(_without_repeats(spark.table(name), length, gram, steps), "doc_id")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _without_repeats(table: DataFrame, length: int, gram: int, steps: tuple[int, ...]) -> DataFrame:
     level = materialize(table.select("k", "h", "text").mapInPandas(_anchors(length, gram), ROW), "substring-0")
     done = []
     for i, step in enumerate([*steps, 0]):
-        spans, stay = _refine(level)
+        spans, stay, classes = _refine(level)
         done.append(materialize(spans, f"substring-spans-{i}"))
-        if not step:
-            break
-        ranges = stay.groupBy("k", "h").agg(F.collect_set(F.struct("a", "r0", "r1", "bucket", "settled")).alias("ranges"))
-        one = table.select("k", "h", "text").join(ranges, ["k", "h"])
-        new = materialize(one.mapInPandas(_blocks(step, length), ROW), f"substring-{i + 1}")
+        if step:
+            ranges = stay.groupBy("k", "h").agg(F.collect_set(F.struct("a", "r0", "r1", "bucket", "settled")).alias("ranges"))
+            one = table.select("k", "h", "text").join(ranges, ["k", "h"])
+            new = materialize(one.mapInPandas(_blocks(step, length), ROW), f"substring-{i + 1}")
         discard(level)
-        level = new
+        discard(classes)
+        if step:
+            level = new
     spans = done[0]
     for more in done[1:]:
         spans = spans.union(more)
     spans = spans.groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    cut = table.join(spans, ["k", "h"], "left").select("doc_id", "text", "spans").mapInPandas(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = table.join(spans, ["k", "h"], "left").select("doc_id", "text", "spans").mapInPandas(_cut(length), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     out = materialize(cut, "substring-cut")
-    spark.sql(f"DROP TABLE {name}")
+    for spans in done:
+        discard(spans)
     return out

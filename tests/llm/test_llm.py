@@ -410,3 +410,72 @@ def test_pipeline(spark, tmp_path):
     assert set(left) == set(range(60)) - toxic - {3, 4} | {70}
     assert sha not in left[0]["text"] and left[0]["n_chars"] == len(left[0]["text"])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == set(left)
+
+
+BIG = 2**53
+
+
+def test_ids_above_double_precision_beside_nulls(spark):
+    pytest.importorskip("public_tokenizers")
+    ids = [BIG + 1, None, BIG + 3, BIG + 5]
+    docs = spark.createDataFrame([(i, f"some words of text number {k}") for k, i in enumerate(ids)], DDL).coalesce(1)
+    pages = docs.selectExpr("doc_id AS page_id", "'http://a/' AS url", "concat('<p>', text, '</p>') AS html")
+    vectors = docs.selectExpr("doc_id AS vec_id", "transform(sequence(1, 4), i -> CAST(hash(text, i) AS double)) AS embedding")
+    labels = spark.createDataFrame([(BIG + 1, 1), (BIG + 3, 0)], "doc_id long, toxic int")
+    found = {
+        "op1": html_extract.extract_main_text(pages), "op2": decontaminate.contamination(docs, spark.createDataFrame([(1, "some words")], "item_id long, text string")), "op3": lm_score.score_texts(docs),
+        "op4": toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)), "op5": substring_dedup.remove_repeats(docs), "op6": embedding_dedup.near_vectors(vectors),
+        "op7": minhash.near_duplicates(docs, 2), "op8": warc.archive_pages(pages), "op9": packing.pack(docs, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"), "op10": secrets.scan_secrets(docs),
+    }
+    for op, df in found.items():
+        column = next(c for c in ("doc_id", "page_id", "vec_id") if c in df.columns)
+        assert {r[column] for r in df.collect()} == set(ids), op
+        assert dict(df.dtypes)[column] == "bigint", op
+
+
+def test_warc_revisits_of_large_ids(spark):
+    rows = [(BIG + 1, "http://a/1", "<p>a</p>"), (BIG + 3, "http://a/2", "<p>a</p>"), (BIG + 5, "http://a/3", "<p>b</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for bound in (200_000, 0):
+        path = warc.scratch_path(spark, "warc-test")
+        warc.write_archives(pages, path, archive=200, firsts_bound=bound)
+        got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.capture_index(spark, path, merged=1).collect()}
+        assert got == {BIG + 1: ("response", None), BIG + 3: ("revisit", BIG + 1), BIG + 5: ("response", None)}
+
+
+def test_near_dedup_keeps_one_row_of_equal_texts(spark):
+    a, b = "one two three four five six seven", "another text of its own with other words"
+    rows = [(1, a), (5, a), (5, b), (1, a), (None, a), (None, b + " x y z"), (None, "only here " + a[:9]), (7, None), (7, None), (8, " ")]
+    docs = frame(spark, rows).withColumns({"d": F.lit(1), "k": F.lit(2), "rep": F.lit(3), "component": F.lit(4), "stays": F.lit(False)})
+    out = minhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter([(1, a), (5, b), (None, b + " x y z"), (None, "only here " + a[:9]), (7, None), (7, None), (8, " ")])
+    assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_stages_with_clashing_names_nulls_and_no_rows(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    from cedarlog.llm import stages
+
+    d = str(tmp_path)
+    item = prose(random.Random(2), 20)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    sha = hashlib.sha1(b"q").hexdigest()
+    rows = [(1, f'token = "{sha}" and more'), (2, None), (None, ""), (None, item), (3, "a clean text")]
+    docs = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in ("redacted", "secrets", "n_secrets", "n_found", "row", "__key", "__spans", "d", "hits", "n_hit")})
+    for name, stage in stages.STAGES:
+        out = stage(spark, docs, d)
+        assert stage(spark, docs.limit(0), d).count() == 0
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {1, 2, 3, None}
+            continue
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[c] == f"own {c}" for r in got for c in ("redacted", "secrets", "__key", "__spans")), name
+        texts = Counter(r["text"] for r in got)
+        if name == "decontaminate":
+            assert texts == Counter([t for _, t in rows if t != item])
+        if name == "secrets":
+            assert texts == Counter(['token = "[SECRET]" and more', None, "", item, "a clean text"])
