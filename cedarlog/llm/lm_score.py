@@ -28,6 +28,8 @@ CHUNK = 1 << 21
 SCORED = 1 << 19
 #: Pairs whose values are worked out at a time, about; most counts of three bytes that go to every task (16 bytes each).
 LOOKED_UP, LOW_BOUND = 200_000, 4_000_000
+#: Bytes at which a text belongs to the next class of sizes; blocks that a run of long texts may fill.
+LONG, CLUSTER = (1 << 14, 1 << 17, 1 << 20, 1 << 23), 8
 END = b" "  # no word has a space
 
 
@@ -202,26 +204,21 @@ def _score(order: int, tokens: int, kinds: int):
 def _blocks(documents: DataFrame, block_bytes: int) -> DataFrame:
     """``documents`` (doc_id, text) with a number of the block that a row is dealt to, by its place in its file.
 
-    Rows are dealt by classes of size, so that a block has about ``block_bytes`` on average and never many times as many, also
-    where long texts come in a run: a block of a class spans as many places as hold its share, or fewer."""
+    Long texts are dealt apart from short ones, so that a run of them does not overfill a block: a block of a class of sizes
+    spans as many places as hold ``block_bytes`` on average, and never so many that CLUSTER times as much could lie in it."""
     try:
         documents.select("_metadata.row_index")
     except AnalysisException:  # not a plain scan of files: only those know a row's place
         documents = materialize(documents.select("doc_id", "text"), "lm-texts")
-    size = F.floor(F.log2(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1)).cast("int")
-    rows = documents.select("doc_id", "text", size.alias("size"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    sizes = rows.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).collect()  # 32 rows at most
-    n = sum(r["n"] for r in sizes)
-    spans = {r["size"]: max(1, min(n * block_bytes // max(1, r["bytes"] or 0), 4 * block_bytes >> r["size"] + 1)) for r in sizes}
-    # small classes share their blocks
-    total = max(1, sum(r["bytes"] or 0 for r in sizes))
-    minor = {r["size"] for r in sizes if (r["bytes"] or 0) < total / 8 and 2 << r["size"] <= block_bytes // 64}
-    span, kind = F.lit(1), F.col("size")
-    for k, v in spans.items():
-        v = max(1, min(v, 4 * block_bytes >> max(minor) + 1, n * block_bytes // max(1, sum(r["bytes"] or 0 for r in sizes if r["size"] in minor)))) if k in minor else v
-        span = F.when(F.col("size") == k, v).otherwise(span)
-    kind = F.when(F.col("size").isin(list(minor)), -1).otherwise(kind) if minor else kind
-    return rows.select("doc_id", "text", F.xxhash64("file", kind, F.floor(F.col("place") / span)).alias("block"))
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    kind = sum((F.when(size >= edge, 1).otherwise(0) for edge in LONG), F.lit(0))
+    rows = documents.select("doc_id", "text", kind.alias("kind"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    sums = rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).collect()  # a row for each class
+    n, span = sum(r["n"] for r in sums), F.lit(1)
+    for r in sums:
+        most = CLUSTER * block_bytes // LONG[r["kind"]] if r["kind"] < len(LONG) else 1
+        span = F.when(F.col("kind") == r["kind"], max(1, min(n * block_bytes // max(1, r["bytes"] or 0), most))).otherwise(span)
+    return rows.select("doc_id", "text", F.xxhash64("file", "kind", F.floor(F.col("place") / span)).alias("block"))
 
 
 def score_texts(documents: DataFrame, order: int = ppm.ORDER, folds: int = FOLDS, block_bytes: int = BLOCK, low_bound: int = LOW_BOUND) -> DataFrame:
@@ -238,7 +235,7 @@ def score_texts(documents: DataFrame, order: int = ppm.ORDER, folds: int = FOLDS
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False)).alias("held_out"),
         "block",
     )
-    asked = materialize(rows.select("block", "held_out", "text").mapInPandas(_ask(order), "block long, key long, n long"), "lm-asked")
+    asked = materialize(rows.select("block", "held_out", "text").sortWithinPartitions("block").mapInPandas(_ask(order), "block long, key long, n long"), "lm-asked")
     summed = materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "lm-summed")
     total = summed.filter("key < 0").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
     pairs = summed.filter("key >= 0")
