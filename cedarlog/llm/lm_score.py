@@ -28,8 +28,8 @@ CHUNK = 1 << 21
 SCORED = 1 << 19
 #: Pairs whose values are worked out at a time, about; most counts of three bytes that go to every task (16 bytes each).
 LOOKED_UP, LOW_BOUND = 200_000, 4_000_000
-#: Bytes at which a text belongs to the next class of sizes; blocks that a run of long texts may fill.
-LONG, CLUSTER = (1 << 14, 1 << 17, 1 << 20, 1 << 23), 8
+#: Times that many bytes make a block heavy.
+HEAVY = 3
 END = b" "  # no word has a space
 
 
@@ -153,7 +153,7 @@ def _lengths(order: int, low: ppm.LowOrders):
         for batch in batches:
             if not len(batch):
                 continue
-            near = batch["near"].to_numpy()
+            near = (batch["key"].to_numpy() >> ppm.BITS) & (1 << low.least * ppm.BITS) - 1
             start = int(np.searchsorted(near, near[-1]))  # of the group that may go on
             if start or near[0] != last:
                 if start:
@@ -204,21 +204,22 @@ def _score(order: int, tokens: int, kinds: int):
 def _blocks(documents: DataFrame, block_bytes: int) -> DataFrame:
     """``documents`` (doc_id, text) with a number of the block that a row is dealt to, by its place in its file.
 
-    Long texts are dealt apart from short ones, so that a run of them does not overfill a block: a block of a class of sizes
-    spans as many places as hold ``block_bytes`` on average, and never so many that CLUSTER times as much could lie in it."""
+    A block spans as many places as hold ``block_bytes`` on average. Blocks in which much more lies (a run of long texts) are
+    found by a first look at the sizes and cut into as many as it takes; a single text is never cut."""
     try:
         documents.select("_metadata.row_index")
     except AnalysisException:  # not a plain scan of files: only those know a row's place
         documents = materialize(documents.select("doc_id", "text"), "lm-texts")
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
-    kind = sum((F.when(size >= edge, 1).otherwise(0) for edge in LONG), F.lit(0))
-    rows = documents.select("doc_id", "text", kind.alias("kind"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    sums = rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).collect()  # a row for each class
-    n, span = sum(r["n"] for r in sums), F.lit(1)
-    for r in sums:
-        most = CLUSTER * block_bytes // LONG[r["kind"]] if r["kind"] < len(LONG) else 1
-        span = F.when(F.col("kind") == r["kind"], max(1, min(n * block_bytes // max(1, r["bytes"] or 0), most))).otherwise(span)
-    return rows.select("doc_id", "text", F.xxhash64("file", "kind", F.floor(F.col("place") / span)).alias("block"))
+    total = documents.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    span = max(1, total["n"] * block_bytes // max(1, total["bytes"] or 0))
+    place, file = F.col("_metadata.row_index"), F.col("_metadata.file_path")
+    rows = documents.select("doc_id", "text", F.xxhash64(file, F.floor(place / span)).alias("block"), (place % span).alias("at"))
+    heavy = rows.groupBy("block").agg(F.sum(size).alias("bytes")).filter(F.col("bytes") > HEAVY * block_bytes).select("block", F.greatest(F.lit(1), F.floor(F.lit(span * block_bytes // 2) / F.col("bytes"))).alias("part"))
+    heavy = materialize(heavy, "lm-heavy")
+    if not heavy.isEmpty():  # a block each for every HEAVY * block_bytes of text at most
+        rows = rows.join(heavy, "block", "left").withColumn("block", F.when(F.col("part").isNull(), F.col("block")).otherwise(F.xxhash64("block", F.floor(F.col("at") / F.col("part")))))
+    return rows.select("doc_id", "text", "block")
 
 
 def score_texts(documents: DataFrame, order: int = ppm.ORDER, folds: int = FOLDS, block_bytes: int = BLOCK, low_bound: int = LOW_BOUND) -> DataFrame:
@@ -247,7 +248,7 @@ def score_texts(documents: DataFrame, order: int = ppm.ORDER, folds: int = FOLDS
     low = counts.toArrow()
     low = ppm.low_orders(low["key"].to_numpy(), low["n"].to_numpy(), least)
     near = F.shiftright("key", ppm.BITS).bitwiseAND((1 << least * ppm.BITS) - 1)
-    lengths = pairs.select("key", "n", near.alias("near")).repartition("near").sortWithinPartitions("near").mapInPandas(_lengths(order, low), "key long, value double")
+    lengths = pairs.select("key", "n").repartition(near).sortWithinPartitions(near).mapInPandas(_lengths(order, low), "key long, value double")
     values = materialize(lengths.union(summed.filter("key < 0").select("key", F.col("n").cast("double"))), "lm-values")
     discard(summed)
     given = asked.select("block", "key").join(values, "key").select("block", "key", "value")

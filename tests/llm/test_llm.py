@@ -250,9 +250,11 @@ def ppm_brute(train, text, order=ppm.ORDER):
     return total
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize("low_bound, heavy", [(4_000_000, 3), (0, 0.1)])
+def test_lm_scores(spark, low_bound, heavy, monkeypatch):
+    monkeypatch.setattr(lm_score, "HEAVY", heavy)
     rows = corpus(6, 50)
-    got = {r["doc_id"]: r for r in lm_score.score_texts(frame(spark, rows), block_bytes=4000).collect()}
+    got = {r["doc_id"]: r for r in lm_score.score_texts(frame(spark, rows), block_bytes=4000, low_bound=low_bound).collect()}
     held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
     norm = {i: (t or "").encode().translate(LOWER_BYTES) for i, t in rows}
     train = Counter()
