@@ -22,10 +22,10 @@ from .common import discard, ids_back, materialize
 
 FOLDS = 10
 #: Bytes of text in a block, about.
-BLOCK = 32 << 20
-CHUNK = 1 << 21
+BLOCK = 24 << 20
+CHUNK = 1 << 20
 #: Bytes of text that are scored at a time.
-SCORED = 1 << 19
+SCORED = 1 << 18
 #: Pairs whose values are worked out at a time, about; most counts of three bytes that go to every task (16 bytes each).
 LOOKED_UP, LOW_BOUND = 200_000, 4_000_000
 #: Times that many bytes make a block heavy.
@@ -52,7 +52,7 @@ class Lookup:
     EMPTY = np.int64(-(2**63))
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.bits = max(4, (len(keys) * 5 // 4).bit_length())
         self.keys, self.values = np.full(1 << self.bits, self.EMPTY), np.zeros(1 << self.bits)
         slot, rest = self._slots(keys), np.arange(len(keys))
         while len(rest):
@@ -103,12 +103,17 @@ class _Asked:
                 keys, n = np.unique(ppm.pack(texts, self.order)[0], return_counts=True)
                 self.parts.append((keys, n * (not held_out)))
         self.held, self.size = {False: [], True: []}, 0
-        if sum(len(k) for k, _ in self.parts[1:]) > 3_000_000:
+        if sum(len(k) for k, _ in self.parts[1:]) > 1_500_000:
             self.merge()
 
     def merge(self) -> None:
-        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        self.parts = [(keys, np.bincount(at, weights=np.concatenate([n for _, n in self.parts]), minlength=len(keys)).astype(np.int64))]
+        keys, n = np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts])
+        self.parts = []
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.parts = [(keys[first], np.add.reduceat(n, first))]
 
     def frames(self, block: int):
         self.flush()
@@ -172,9 +177,8 @@ def _lengths(order: int, low: ppm.LowOrders):
 
 def _score(order: int, tokens: int, kinds: int):
     def run(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        keys, values = got["key"].to_numpy(), got["value"].to_numpy()
-        model, words = Lookup(keys[keys >= 0], values[keys >= 0]), Lookup(keys[keys < 0], values[keys < 0])
-        del got, keys, values
+        model = Lookup(got["key"].to_numpy(), got["value"].to_numpy())  # of pairs and of words, whose keys are negative
+        del got
         known, scale = _WordKeys(), tokens + 0.1 * (kinds + 1)
         out, held, size = [], [], 0
 
@@ -183,7 +187,7 @@ def _score(order: int, tokens: int, kinds: int):
             scores = np.add.reduceat(model.get(keys), np.cumsum(sizes) - sizes)
             for data, score in zip(held, scores, strict=True):
                 found = data.split()
-                c = words.get(np.fromiter(map(known.__getitem__, (*found, END)), dtype=np.int64, count=len(found) + 1))
+                c = model.get(np.fromiter(map(known.__getitem__, (*found, END)), dtype=np.int64, count=len(found) + 1))
                 out.append((len(c), int((c > 0).sum()), float(np.log10((c + 0.1) / scale).sum()), float(score)))
             held.clear()
 
@@ -236,7 +240,7 @@ def score_texts(documents: DataFrame, order: int = ppm.ORDER, folds: int = FOLDS
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False)).alias("held_out"),
         "block",
     )
-    asked = materialize(rows.select("block", "held_out", "text").sortWithinPartitions("block").mapInPandas(_ask(order), "block long, key long, n long"), "lm-asked")
+    asked = materialize(rows.select("block", "held_out", "text").mapInPandas(_ask(order), "block long, key long, n long"), "lm-asked")
     summed = materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "lm-summed")
     total = summed.filter("key < 0").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
     pairs = summed.filter("key >= 0")
