@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
-from .common import discard, ids_back, materialize
+from .common import discard, give_back, ids_back, materialize
 
 FOLDS = 10
 #: Bytes of text in a block, about.
-BLOCK = 24 << 20
+BLOCK = 32 << 20
 CHUNK = 1 << 20
 #: Bytes of text that are scored at a time.
 SCORED = 1 << 18
@@ -140,6 +140,8 @@ def _ask(order: int):
                 asked.add(ppm.normalise(text), bool(held_out))
         if asked:
             yield from asked.frames(block)
+        del asked
+        give_back()
 
     return run
 
@@ -171,6 +173,8 @@ def _lengths(order: int, low: ppm.LowOrders):
             size, last = size + len(near) - start, near[-1]
         if held:
             yield frame(held)
+        del held
+        give_back()
 
     return run
 
@@ -199,6 +203,8 @@ def _score(order: int, tokens: int, kinds: int):
                 size = 0
         if held:
             flush()
+        del model
+        give_back()
         scored = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
         return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held_out"].to_numpy(), "n_tokens": scored["n_tokens"], "n_known": scored["n_known"], "train_tokens": tokens, "base_score": scored["base_score"], "score": scored["score"]})
 
