@@ -128,7 +128,7 @@ class Masker:
         out = F.regexp_replace(c, PHONE, "$1****$2")
         out = F.regexp_replace(out, NATIONAL_ID, "$1********$2")
         out = F.regexp_replace(out, BANK_CARD, "$1****$2")
-        out = _mask_email(out)
+        out = F.when(needs_masking(c), _mask_email(out)).otherwise(c)  # no built-in rule matches anything else
         for rule in self.rules:
             out = rule(out) if callable(rule) else F.regexp_replace(out, *rule)
         return F.when(utf16_units(c) >= LEAST_MASKED, out).otherwise(c)
@@ -155,12 +155,21 @@ def secure(c: Column, throwable: bool = False, masker: Callable[[Column], Column
     """(value, sanitized, masked, fast_path). Both flags come from the raw text, so a number that sanitizing joins is not
     masked unless ``strict_mask``. Built-in stages run only if flagged; another sanitizer or masker always runs."""
     own = sanitizer or (sanitize_throwable if throwable else sanitize)
-    s_flag = needs_sanitizing(c, throwable) if sanitizer is None else F.lit(True)
-    clean = F.when(s_flag, own(c)).otherwise(c)
-    m_flag = (needs_masking(clean if strict_mask else c) if isinstance(masker, Masker) else F.lit(True)) if masker else F.lit(False)
-    value = F.when(m_flag, masker(clean)).otherwise(clean) if masker else clean
-    filled = F.coalesce(F.length(c) > 0, F.lit(False))
-    return F.struct(value.alias("value"), (filled & ~clean.eqNullSafe(c)).alias("sanitized"), (filled & ~value.eqNullSafe(clean)).alias("masked"), (filled & ~s_flag & ~m_flag).alias("fast_path"))
+
+    def cleaned(raw: Column) -> Column:
+        s_flag = needs_sanitizing(raw, throwable) if sanitizer is None else F.lit(True)
+        return F.struct(raw.alias("raw"), s_flag.alias("s"), F.when(s_flag, own(raw)).otherwise(raw).alias("clean"))
+
+    def valued(x: Column) -> Column:
+        m_flag = (needs_masking(x["clean"] if strict_mask else x["raw"]) if isinstance(masker, Masker) else F.lit(True)) if masker else F.lit(False)
+        return F.struct(*(x[k].alias(k) for k in ("raw", "s", "clean")), m_flag.alias("m"), (F.when(m_flag, masker(x["clean"])).otherwise(x["clean"]) if masker else x["clean"]).alias("value"))
+
+    def judged(x: Column) -> Column:
+        filled = F.coalesce(F.length(x["raw"]) > 0, F.lit(False))
+        return F.struct(x["value"].alias("value"), (filled & ~x["clean"].eqNullSafe(x["raw"])).alias("sanitized"), (filled & ~x["value"].eqNullSafe(x["clean"])).alias("masked"), (filled & ~x["s"] & ~x["m"]).alias("fast_path"))
+
+    # each stage is a function of the one before, so that it is worked out once, however often it is referred to
+    return F.transform(F.transform(F.transform(F.array(c), cleaned), valued), judged)[0]
 
 
 def secure_mdc(mdc: Column) -> Column:

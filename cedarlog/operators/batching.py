@@ -249,24 +249,38 @@ def finalise(df: DataFrame, separator: str = "\n", key: str = "trace_id", legacy
 
 def aggregate(df: DataFrame, most: int = 100, most_bytes: int = 1 << 20, mode: str = "pipeline", overflow: str = "FLUSH_EARLY", separator: str = "\n", floor: int = LEAST_BATCH_BYTES) -> DataFrame:
     """Formatted records (column line, and pattern_version if there is one) as batches, in either mode."""
-    if "pattern_version" not in df.columns:
+    versions = "pattern_version" in df.columns
+    if not versions:
         df = df.withColumn("pattern_version", F.lit(1))
     if mode == "pipeline":
         sized = df.withColumn("bytes", line_bytes(F.col("line")))
         folded = ordered_fold(sized, ["trace_id"], ["seq"], ["bytes", "pattern_version"], "batch_id long", pipeline_batches(most, most_bytes, floor))
         return finalise(folded, "\n")
     sized = df.filter(F.length("line") > 0).withColumn("bytes", segment_bytes(F.col("line")))
+    rest = sized.filter(F.col("bytes") <= most_bytes) if most_bytes > 0 else sized
     if overflow == "DROP_OLDEST":
-        folded = evict_oldest(sized, most, most_bytes, "bytes").filter("fate = 'kept'").withColumn("batch_id", F.lit(0).cast("long"))
+        folded = evict_oldest(rest, most, most_bytes, "bytes").filter("fate = 'kept'").withColumn("batch_id", F.lit(0).cast("long"))
     else:
-        folded = ordered_fold(sized, ["trace_id"], ["seq"], ["bytes"], "batch_id long, fate string", legacy_batches(most, most_bytes, overflow)).filter("batch_id >= 0")
-    return finalise(folded, separator, legacy=True)
+        folded = ordered_fold(rest, ["trace_id"], ["seq"], ["bytes"], "batch_id long, fate string", legacy_batches(most, most_bytes, overflow)).filter("batch_id >= 0")
+    if versions:  # what is drained together is written in parts of one pattern version each
+        w = W.partitionBy("trace_id").orderBy("seq")
+        here, before = F.struct("batch_id", "pattern_version"), F.lag(F.struct("batch_id", "pattern_version")).over(w)
+        folded = folded.withColumn("__new", (~here.eqNullSafe(before)).cast("long")).withColumn("batch_id", F.sum("__new").over(w) - 1).drop("__new")
+    batches = finalise(folded, separator, legacy=True)
+    if most_bytes <= 0:
+        return batches
+    # a record larger than a batch bypasses the buffer: a batch of its own, known by a negative number, never the last
+    return batches.unionByName(direct(sized.filter(F.col("bytes") > most_bytes)).withColumn("batch_id", -1 - F.col("batch_id")).withColumn("flush_id", flush_id(F.col("trace_id"), F.col("batch_id"))).withColumn("total_bytes", F.col("total_bytes") + 64))
 
 
 def direct(df: DataFrame) -> DataFrame:
-    """Unbuffered writes: every record is a batch of one."""
-    one = df.withColumn("bytes", segment_bytes(F.col("line")) - 64).withColumn("batch_id", F.row_number().over(W.partitionBy("trace_id").orderBy("seq")).cast("long") - 1)
-    return finalise(one, legacy=True).withColumn("final_flush", F.lit(False))
+    """Unbuffered writes: every record is a batch of one, whose number is its place (seq)."""
+    at = F.timestamp_millis("ts_ms")
+    return df.select(
+        "trace_id", F.col("seq").cast("long").alias("batch_id"), F.col("line").alias("content"), F.lit(1).alias("entry_count"), (segment_bytes(F.col("line")) - 64).alias("total_bytes"),
+        F.when(level_rank(F.col("level")) > 0, F.col("level")).otherwise("TRACE").alias("max_level"), at.alias("first_time"), at.alias("last_time"),
+        flush_id(F.col("trace_id"), F.col("seq")).alias("flush_id"), F.lit(False).alias("final_flush"),
+    )
 
 
 def retained(files: DataFrame, ttl_ms: int, now_ms: int, most_bytes: int) -> DataFrame:

@@ -139,12 +139,10 @@ def smp_count(spark, sf_dir):
 
 
 @query(
-    f"WITH {LOGS}, u AS (SELECT *, (event_id % 100) / 100.0 AS util FROM logs) SELECT trace_id, seq, CASE WHEN util < 0.5 THEN true WHEN util < 0.8 THEN event_id % 7 < 3 ELSE rank >= 3 END AS keep FROM u"
+    f"WITH {LOGS}, u AS (SELECT *, (event_id % 100) / 100.0 AS util FROM logs) SELECT trace_id, seq, CASE WHEN util < 0.5 THEN true WHEN util < 0.8 THEN false ELSE rank >= 3 END AS keep FROM u"
 )
 def smp_adaptive(spark, sf_dir):
-    util = (F.col("seq") % 100) / 100
-    keep = F.when(util < 0.5, True).when(util < 0.8, F.col("seq") % 7 < 3).otherwise(high_priority(F.col("level")))
-    return _logs(spark, sf_dir).select("trace_id", "seq", keep.alias("keep"))
+    return _logs(spark, sf_dir).select("trace_id", "seq", filters.sample_adaptive(0.0, (F.col("seq") % 100) / 100).alias("keep"))
 
 
 @query()
@@ -321,6 +319,16 @@ def agg_drop_oldest(spark, sf_dir):
     return _batches(batching.aggregate(_logs(spark, sf_dir).withColumn("line", F.col("content")), 10, 1500, mode="legacy", overflow="DROP_OLDEST"))
 
 
+@query(
+    f"""WITH {LOGS}, l AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN repeat(content, 40) ELSE content END AS line FROM logs), s AS (SELECT *, CAST(64 + {_s_sql("line")} AS BIGINT) AS bytes FROM l),
+    w AS (SELECT *, count(*) OVER t AS n, sum(bytes) OVER t AS total FROM s WHERE bytes <= 1500 WINDOW t AS (PARTITION BY trace_id ORDER BY seq DESC)),
+    b AS (SELECT * EXCLUDE (n, total), 0 AS batch_id FROM w WHERE n <= 10 AND total <= 1500 UNION ALL SELECT *, -1 - seq FROM s WHERE bytes > 1500) {GROUPED}"""
+)
+def agg_oversized(spark, sf_dir):
+    df = _logs(spark, sf_dir).withColumn("line", F.when(F.col("seq") % 37 == 0, F.repeat("content", 40)).otherwise(F.col("content")))
+    return _batches(batching.aggregate(df, 10, 1500, mode="legacy", overflow="DROP_OLDEST"))
+
+
 @query(f"WITH {LOGS}, s AS (SELECT *, content AS line, CAST(64 + {_s_sql('content')} AS BIGINT) AS bytes, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM logs), b AS (SELECT *, 0 AS batch_id FROM s WHERE n <= 10) {GROUPED}")
 def agg_drop_newest(spark, sf_dir):
     return _batches(batching.aggregate(_logs(spark, sf_dir).withColumn("line", F.col("content")), 10, 0, mode="legacy", overflow="DROP_NEWEST"))
@@ -366,9 +374,7 @@ def agg_quota(spark, sf_dir):
 )
 def agg_direct_writes(spark, sf_dir):
     df = _logs(spark, sf_dir).withColumn("line", F.col("content"))
-    one = batching.direct(df)
-    numbered = df.withColumn("batch_id", F.row_number().over(W.partitionBy("trace_id").orderBy("seq")).cast("long") - 1).select("trace_id", "batch_id", "seq")
-    return one.join(numbered, ["trace_id", "batch_id"]).select("trace_id", "seq", "content", "max_level", "total_bytes", "entry_count")
+    return batching.direct(df).select("trace_id", F.col("batch_id").alias("seq"), "content", "max_level", "total_bytes", "entry_count")
 
 
 @query(
@@ -546,15 +552,13 @@ def met_first_last(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY 1, 2), b AS (SELECT event_type, avg(value) AS baseline FROM events GROUP BY 1)
-    SELECT m.event_type, user_id, round(v, 6) AS v, round(baseline * 0.9, 6) AS floor, CASE WHEN v >= baseline * 0.9 THEN 'PASS' WHEN user_id % 2 = 0 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM m JOIN b USING (event_type)"""
+    """WITH m AS (SELECT user_id, avg(value) AS v FROM events WHERE event_type <> 'view' GROUP BY 1), b AS (SELECT user_id, avg(value) AS baseline FROM events GROUP BY 1)
+    SELECT user_id, round(v, 6) AS v, round(baseline * 0.9, 6) AS floor, CASE WHEN v >= baseline * 0.9 THEN 'PASS' WHEN user_id % 2 = 0 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM m JOIN b USING (user_id)"""
 )
 def met_gates(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
-    m, b = e.groupBy("event_type", "user_id").agg(F.avg("value").alias("v")), e.groupBy("event_type").agg(F.avg("value").alias("v"))
-    both = m.join(b.withColumnRenamed("v", "baseline"), "event_type")
-    low = F.col("v") < F.col("baseline") * 0.9
-    return both.select("event_type", "user_id", F.round("v", 6).alias("v"), F.round(F.col("baseline") * 0.9, 6).alias("floor"), F.when(~low, "PASS").when(F.col("user_id") % 2 == 0, "WARN").otherwise("FAIL").alias("verdict"))
+    m, b = e.filter("event_type <> 'view'").groupBy("user_id").agg(F.avg("value").alias("v")), e.groupBy("user_id").agg(F.avg("value").alias("v"))
+    return metrics.gate(m, b, "user_id", "v", 0.9, F.col("user_id") % 2 == 0).withColumns({"v": F.round("v", 6), "floor": F.round("floor", 6)})
 
 
 @query("SELECT user_id, event_id, round((value - lag(value) OVER w) / lag(value) OVER w * 100, 4) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -626,15 +630,15 @@ def agg_plain_buffer(spark, sf_dir):
     return batching.ordered_fold(df, ["trace_id"], ["seq"], ["bytes"], "fate string, held long", batching.drained(12)).select("trace_id", "seq", "fate", "held")
 
 
-@query(f"WITH {LOGS} SELECT level, to_json({{'n': count(*), 'chars': CAST(sum(length(content)) AS BIGINT), 'last': max(seq)}}) AS status FROM logs GROUP BY level")
+@query(f"WITH {LOGS} SELECT to_json({{'level': level, 'n': count(*), 'chars': CAST(sum(length(content)) AS BIGINT), 'last': max(seq)}}) AS status FROM logs GROUP BY level")
 def met_snapshot(spark, sf_dir):
     one = _logs(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"), F.sum(F.length("content").cast("long")).alias("c"), F.max("seq").alias("s"))
-    return one.select("level", F.to_json(F.struct("n", F.col("c").alias("chars"), F.col("s").alias("last"))).alias("status"))
+    return metrics.snapshot(one, level=F.col("level"), n=F.col("n"), chars=F.col("c"), last=F.col("s"))
 
 
-@query(f"SELECT conv_id, turn, role AS role_x, CASE WHEN length({_san_sql('left(text, 60)')}) >= 8 THEN {_mask_sql(_san_sql('left(text, 60)'))} ELSE {_san_sql('left(text, 60)')} END AS text FROM conversations")
+@query(f"SELECT conv_id, turn, role AS role_x, CASE WHEN length({_san_sql('text')}) >= 8 THEN {_mask_sql(_san_sql('text'))} ELSE {_san_sql('text')} END AS text FROM conversations")
 def sec_mdc(spark, sf_dir):
-    mdc = text.secure_mdc(F.create_map(F.lit("role x"), F.col("role"), F.lit("text"), F.substring("text", 1, 60)))
+    mdc = text.secure_mdc(F.create_map(F.lit("role x"), F.col("role"), F.lit("text"), F.col("text")))
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", mdc.alias("m")).select("conv_id", "turn", F.col("m")["role_x"].alias("role_x"), F.col("m")["text"].alias("text"))
 
 

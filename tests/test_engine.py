@@ -132,3 +132,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_legacy_batches_of_oversized_records_and_versions(spark):
+    from cedarlog.operators import batching
+
+    rows = [("t", 0, "a", 1), ("t", 1, "x" * 2000, 1), ("t", 2, "b", 1), ("t", 3, "c", 2), ("u", 0, "y" * 2000, 1)]
+    df = spark.createDataFrame(rows, "trace_id string, seq long, line string, pattern_version int").selectExpr("*", "'INFO' AS level", "seq AS ts_ms")
+    for overflow, kept in (("FLUSH_EARLY", ["a\nb", "c"]), ("DROP_OLDEST", ["a\nb", "c"])):
+        got = batching.aggregate(df, 100, 1000, mode="legacy", overflow=overflow).orderBy("trace_id", "batch_id").collect()
+        assert [(r["trace_id"], r["content"][:3], r["batch_id"], r["final_flush"]) for r in got] == [("t", "xxx", -2, False), *(("t", x, i, i == 1) for i, x in enumerate(kept)), ("u", "yyy", -1, False)]
+        assert len({r["flush_id"] for r in got}) == 4
+    plain = batching.aggregate(df.drop("pattern_version"), 100, 1000, mode="legacy").filter("batch_id >= 0").collect()
+    assert [r["content"] for r in plain] == ["a\nb\nc"]
