@@ -22,13 +22,13 @@ CANDIDATE = "|".join(
         r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s]++|-(?!----))++-----END [A-Z ]{0,30}PRIVATE KEY-----",
         r"(?<=:)(?<=://[A-Za-z0-9_.~%+\-]{0,64}:)[!-~&&[^/@:\"'`<>]]{4,}+(?=@)",
         r"(?<=/)(?<=://)[!-~&&[^/@:\"'`<>]]{16,}+(?=@)",
-        rf"(?<=[\"'`])(?<=(?i:{TELLING}){ASSIGN}[\"'`])[!-~&&[^\"'`]]{{6,}}+(?=[\"'`])",
-        rf"(?<=[=:>\s])(?<=(?i:{TELLING}){ASSIGN})[!-~&&[^\"'`<>(),;{{}}\[\]]]{{6,}}+",
+        rf"(?<=[=:>]\s{{0,2}}[\"'`])(?<=(?i:{TELLING}){ASSIGN}[\"'`])[!-~&&[^\"'`]]{{6,}}+(?=[\"'`])",
+        rf"(?<=[=:>]\s{{0,2}})(?<=(?i:{TELLING}){ASSIGN})[!-~&&[^\"'`<>(),;{{}}\[\]]]{{6,}}+",
         r"(?<![A-Za-z0-9_\-./+@])(?=[A-Za-z_\-./+]*+[0-9])(?=[0-9_\-./+]*+[A-Za-z])[A-Za-z0-9_\-./+]{16,}+={0,2}(?![A-Za-z0-9_@])",
     )
 )
 #: What a text with a candidate holds: only such texts are searched.
-GATE = rf"[A-Za-z0-9_\-./+]{{16}}|-----BEGIN|(?i:{TELLING}){ASSIGN}|://[^\s/]{{4,}}@"
+GATE = r"[=:>]\s{0,2}[\"'`]?[!-~]{4}|[A-Za-z0-9_\-./+]{16}|-----BEGIN"
 #: Words next to a candidate that speak for a secret, and words and shapes that speak against it.
 NAMES = rf"(?i){TELLING}"
 HARMLESS = r"(?i)(sha\d*|md5|checksum|digest|commit|revision|uuid|guid|etag|hash|example|sample|dummy|placeholder|build|version|image|file|path|id)\W*$"
@@ -44,7 +44,7 @@ WORDS = (
     " token true type under user username value version well were what when where which while will with word work world would year your"
 ).split()
 FEATURES = (
-    "length", "digits", "uppers", "classes", "transitions", "distinct", "hex", "pairs", "words", "longest_word", "slashes", "dots", "dashes", "symbols", "uuid", "prefix", "named", "assigned", "quoted", "userinfo",
+    "length", "digits", "uppers", "classes", "transitions", "distinct", "hex", "pairs", "words", "longest_word", "slashes", "dots", "dashes", "symbols", "uuid", "prefix", "named", "assigned", "quoted", "userinfo", "called",
     "harmless", "placeholder", "path_test", "path_config",
 )
 
@@ -101,6 +101,7 @@ def _features(value: Column, before: Column, after: Column, path: Column | None
         "assigned": before.rlike(r"(=|:|=>)\s*[\"'`]?$"),
         "userinfo": before.rlike(r"://[^\s/@]*$") & after.startswith("@"),
         "quoted": before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]"),
+        "called": after.rlike(r"^[(\[]"),
         "harmless": before.rlike(HARMLESS),
         "placeholder": value.rlike(r"(?i)(example|sample|dummy|placeholder|change|your|xxxx|test|foo|0000|1234567|\*{4}|^\$|environ|process\.env|os\.get|^%)"),
         "path_test": path.rlike(r"(?i)(^|[/_.\-])(tests?|spec|fixtures?|examples?|samples?|docs?|mocks?)([/_.\-]|$)"),
@@ -114,8 +115,8 @@ def labelled_findings(spark: SparkSession, n: int = 300) -> DataFrame:
 
     Secrets: hexadecimal, base64 and prefixed keys, short and symbol-rich passwords and passphrases that are assigned to
     telling names, passwords and tokens in URLs, private keys. Others: digests, UUIDs, paths, host names, dates with times,
-    numbers with units, placeholders, long words with digits in running text, and words and references to variables
-    after a telling name. A seventh of all findings has the path of a configuration, a seventh that of a test."""
+    numbers with units, placeholders, long words with digits in running text, and words, calls and references to
+    variables after a telling name. A seventh of all findings has the path of a configuration, a seventh that of a test."""
     raw = spark.range(n).selectExpr("id", "sha1(CAST(id AS string)) AS h", "sha2(CAST(id AS string), 256) AS s", "base64(unhex(sha2(concat('b', id), 256))) AS b", "upper(md5(CAST(id AS string))) AS m")
     name = "element_at(array('token', 'api_key', 'secret', 'password', 'access_key', 'auth_token', 'client_secret', 'apiKey', 'credential'), CAST(id % 9 + 1 AS int))"
     sign = "element_at(array(' = \"', '=\"', ': \"', '=', ': ', ' = ', '\": \"'), CAST(id % 7 + 1 AS int))"
@@ -142,6 +143,7 @@ def labelled_findings(spark: SparkSession, n: int = 300) -> DataFrame:
         (common, f"concat({word}, ' ', {pw}, element_at(array(': ', ' : ', '=', ' = '), CAST(id % 4 + 1 AS int)))", f"concat(' ', {word})", 0),
         (f"concat({common}, element_at(array('.', '', '-', '_'), CAST(id % 4 + 1 AS int)), {word})", f"concat({word}, ' ', {name}, ': ')", f"concat(' ', {word})", 0),
         (f"concat(element_at(array('os.environ', 'process.env.', '$', 'config.', 'settings.', 'self.', '%'), CAST(id % 7 + 1 AS int)), {pw})", f"concat({name}, {sign})", close, 0),
+        (f"concat(element_at(array('get_', 'load.', 'read_', 'vault.fetch_', 'input'), CAST(id % 5 + 1 AS int)), {pw})", f"concat({name}, element_at(array('=', ' = ', ': '), CAST(id % 3 + 1 AS int)))", "element_at(array('()', '(name)', '[0]'), CAST(id % 3 + 1 AS int))", 0),
         ("concat(element_at(array('****', 'xxxx', 'changeme', 'password', 'your-'), CAST(id % 5 + 1 AS int)), element_at(array('****', 'xxxx', 'secret'), CAST(id % 3 + 1 AS int)))", f"concat({pw}, {sign})", close, 0),
         ("element_at(array('password', 'postgres', 'username', 'secret', 'example', 'changeme', 'root', 'localuser'), CAST(id % 8 + 1 AS int))", f"concat({scheme}, '://', {word}, 'user:')", host, 0),
         ("h", f"concat('lorem ', {word}, ' ', {name}, {sign})", f"{close}", 1),
@@ -165,11 +167,9 @@ def labelled_findings(spark: SparkSession, n: int = 300) -> DataFrame:
         ("concat('2024-0', id % 9 + 1, '-11T', id % 24, '-30-00')", f"concat({word}, ' ')", "' '", 0),
         ("concat('theotherthing', id, 'andmore')", f"concat({word}, ' ')", f"concat(' ', {word})", 0),
     ]
-    out = None
-    for value, before, after, label in kinds:
-        rows = raw.selectExpr(f"{value} AS value", f"{before} AS before", f"{after} AS after", "element_at(array('', 'src/app.py', '', 'config/settings.yml', '', 'tests/fixtures/data.txt', ''), CAST(id % 7 + 1 AS int)) AS path", f"CAST({label} AS double) AS label")
-        out = rows if out is None else out.union(rows)
-    return out
+    path = "element_at(array('', 'src/app.py', '', 'config/settings.yml', '', 'tests/fixtures/data.txt', ''), CAST(id % 7 + 1 AS int))"
+    made = ", ".join(f"named_struct('value', {value}, 'before', {before}, 'after', {after}, 'path', {path}, 'label', CAST({label} AS double))" for value, before, after, label in kinds)
+    return raw.selectExpr(f"inline(array({made}))")
 
 
 def fit_secrets(findings: DataFrame, trees: int = 15, depth: int = 7, seed: int = 7):
