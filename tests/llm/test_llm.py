@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import string
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -210,7 +211,59 @@ def test_html_lines_of_links():
     cited = "See a long title of a work that is cited."
     t = text.strip()
     assert html_extract.main_text(f"<article><p>{text}</p>{one}<p>Short</p>{links}</article>{links}").split("\n\n") == [t, cited, "Short", *shown]
-    assert html_extract.main_text(f"<div>Site</div>{links}<div><p>{text}</p>{links}<p>{text}</p>{one}<p>End</p></div>{links}").split("\n\n") == ["Site", t, *shown, t, cited, "End"]
+    assert html_extract.main_text(f"<div>Site</div>{links}<div><p>{text}</p>{links}<p>{text}</p>{one}<p>End</p></div>{links}").split("\n\n") == [t, *shown, t, cited, "End"]
+
+
+def test_html_runs_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        n = int(rng.integers(0, 25))
+        lengths = [int(x) for x in rng.choice([0, 0, 0, 5, 40, 90, 300], n)]
+        own, window = [bool(x) for x in rng.random(n) < 0.05], int(rng.integers(1, 5))
+        sums = {i: sum(lengths[k] for k in range(i, i + window) if 0 <= k < n) for i in range(-window, n + 1)}
+        runs, i = [], -window
+        while i <= n:
+            if not sums[i]:
+                i += 1
+                continue
+            j = i
+            while sums[j]:
+                j += 1
+            inside = [k for k in range(max(0, i), min(n, j + window - 1)) if lengths[k]]
+            runs.append((inside[0], inside[-1], max(sums[k] for k in range(i, j)), any(own[k] for k in inside)))
+            i = j
+        least = min(86, max(sums.values(), default=0) / 2)
+        kept = [(a, b) for a, b, most, owned in runs if owned or most >= least]
+        lines = set()
+        for k, (a, b) in enumerate(kept):
+            lines |= set(range(a, b + 1))
+            if k and min(sums[kept[k - 1][1] - window + 1], sums[a]) >= html_extract.DENSE:
+                lines |= set(range(kept[k - 1][0], b + 1))
+        assert lines == {k for a, b in html_extract.text_runs(lengths, own, window) for k in range(a, b + 1)}
+
+
+def test_html_surge_and_dive():
+    text = "Words of an article that go on for a while. " * 5
+    links = "".join(f"<div><a href=x>Link {i}</a></div>" for i in range(4))
+    body = f"<h1>Title</h1><p>{text}</p><p>Short end</p>"
+    expected = f"Title\n\n{text.strip()}\n\nShort end"
+    for page in (f"<div>Site</div>{links}{body}{links}<div>Tags and terms</div>", f"<div>Site</div>{links}<article>{body}</article>{links}<div>Tags and terms</div>", f'<header class="entry-header"></header>{body}{links}<div>Imprint</div>'):
+        assert html_extract.main_text(page) == expected
+    assert html_extract.main_text(f"<header class='entry-header'><h1>Title</h1></header><p>{text}</p><p>Short end</p>") == expected
+    assert html_extract.main_text(f"<article>Short</article>{links}<footer>{text}</footer>") == "Short"  # an article's own element needs no surge
+    assert html_extract.main_text(f"<p>One</p>{links}<p>Two</p>") == "One\n\nTwo"  # nor does a page that has none
+
+
+def test_html_broken_markup():
+    main = html_extract.main_text
+    assert main("<p title=don't>It is kept</p><p>So's this</p>") == "It is kept\n\nSo's this"
+    assert main('<p title="a > b" data-x="class=ad">Kept</p>') == "Kept" and main("<p>a < b and 2<3</p>") == "a < b and 2<3"
+    assert main("<p>Area <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds</p>") == "Area x+1 holds"
+    assert main("<p>a&#" + "9" * 5000 + ";b &#65;&#x42;</p>") == "a\ufffdb AB" and main("<p>Text</p><div class=") == "Text"
+    start = time.time()
+    for page in ("<" + "a" * 400_000, "<a " * 150_000, "<div>" * 100_000 + "x", '<div class="ad">' * 50_000 + "x", "<div class=ad><article>x" * 30_000, '<p a="' * 80_000, "<p a='" * 80_001):
+        main(page)
+    assert time.time() - start < 20
 
 
 def test_ppm_is_a_distribution():
