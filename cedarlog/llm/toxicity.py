@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, discard, ids_back, materialize
+from .common import LOWER_BYTES, discard, give_back, ids_back, materialize
 
 SIZES = (3, 4, 5, 6)
 SLOTS = 1 << 21
@@ -152,6 +152,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_BOUND
     at = chosen["slot"].to_numpy(dtype=np.int64)
     rows = texts.mapInPandas(_rows(sizes, slots, at), "toxic int, at binary").toArrow().to_pandas()
     weights, bias = _logistic([np.frombuffer(x, dtype="<i4") for x in rows["at"]], rows["toxic"].to_numpy(dtype=float), chosen["r"].to_numpy())
+    del rows, chosen
+    give_back()  # what the fit held would stay with the driver for the later stages
     return ToxicityModel(sizes, slots, at, weights, bias)
 
 
