@@ -8,7 +8,6 @@ aggregation.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -196,25 +195,16 @@ def quota(soft: int, hard_factor: float = 1.5, sync: int = 0, floor: int = 1 <<
     return start
 
 
-def drained(capacity: int):
-    """A plain buffer: offers beyond ``capacity`` fail; a control row (size below 0) drains it. Returns (fate, held)."""
-
-    def start():
-        held: deque = deque()
-
-        def step(b):
-            if b < 0:
-                n = len(held)
-                held.clear()
-                return ("drained", n)
-            if len(held) >= capacity:
-                return ("full", len(held))
-            held.append(b)
-            return ("offered", len(held))
-
-        return step
-
-    return start
+def plain_buffer(df: DataFrame, key: str, order: str, drain: Column, capacity: int) -> DataFrame:
+    """``df`` with fate and held: a row that drains empties its key's buffer, of the others ``capacity`` are taken between two
+    drains and the rest find it full; held is what lies in it after a row, or what a drain takes out."""
+    rows = df.withColumn("__drain", drain.cast("int"))
+    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__drains", F.coalesce(F.sum("__drain").over(before), F.lit(0)))
+    within = W.partitionBy(key, "__drains").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    offers = F.sum(1 - F.col("__drain")).over(within)
+    fate = F.when(F.col("__drain") == 1, "drained").when(offers <= capacity, "offered").otherwise("full")
+    return rows.withColumns({"fate": fate, "held": F.least(offers, F.lit(capacity)).cast("long")}).drop("__drain", "__drains")
 
 
 def utilization(count: Column, most: int, size: Column, most_bytes: int) -> Column:

@@ -626,8 +626,7 @@ def agg_utilization(spark, sf_dir):
     SELECT trace_id, seq, CASE WHEN drain THEN 'drained' WHEN k <= 12 THEN 'offered' ELSE 'full' END AS fate, CAST(least(12, k) AS BIGINT) AS held FROM k"""
 )
 def agg_plain_buffer(spark, sf_dir):
-    df = _logs(spark, sf_dir).withColumn("bytes", F.when(F.col("seq") % 40 == 0, -1).otherwise(F.length("content")))
-    return batching.ordered_fold(df, ["trace_id"], ["seq"], ["bytes"], "fate string, held long", batching.drained(12)).select("trace_id", "seq", "fate", "held")
+    return batching.plain_buffer(_logs(spark, sf_dir), "trace_id", "seq", F.col("seq") % 40 == 0, 12).select("trace_id", "seq", "fate", "held")
 
 
 @query(f"WITH {LOGS} SELECT to_json({{'level': level, 'n': count(*), 'chars': CAST(sum(length(content)) AS BIGINT), 'last': max(seq)}}) AS status FROM logs GROUP BY level")

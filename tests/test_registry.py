@@ -8,7 +8,7 @@ import pytest
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ["log_pipeline", "flt_discard_reasons", "agg_pipeline_batches", "agg_legacy_batches", "msk_rules", "fmt_layout", "met_outlier_mean", "cfg_resolution",
-         "agg_oversized", "agg_direct_writes", "agg_drop_oldest", "met_gates", "met_snapshot", "smp_adaptive", "sec_mdc", "sec_documents", "sec_records", "msk_documents"]
+         "agg_oversized", "agg_direct_writes", "agg_drop_oldest", "agg_plain_buffer", "met_gates", "met_snapshot", "smp_adaptive", "sec_mdc", "sec_documents", "sec_records", "msk_documents"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
