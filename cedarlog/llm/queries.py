@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .clustering import cluster_vectors
 from .common import table
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
@@ -14,6 +15,7 @@ from .packing import pack
 from .secrets import scan_secrets
 from .substring_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
+from .vector_codes import compress_vectors
 from .warc import archive_pages
 
 
@@ -58,7 +60,46 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_lm_score, op4_toxicity, op5_substring_dedup, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_lm_score, op4_toxicity, op5_substring_dedup, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets, op11_centroid_clusters, op12_vector_codes)}
+
+FINITE = "embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round's assignment and centroids as a step of their own; floors of quotients in doubles are exact at these sizes."""
+    steps = [f"""x AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS d, unnest(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT))) AS v FROM embeddings WHERE len(embedding) = 64 AND {FINITE}),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM (SELECT DISTINCT vec_id FROM x) QUALIFY k < {k}), c0 AS MATERIALIZED (SELECT k, d, v FROM x JOIN s USING (vec_id))"""]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, min(m) % {k} AS k, min(m) // {k} AS distance FROM (SELECT vec_id, k, CAST(sum((x.v - c.v) * (x.v - c.v)) * {k} + k AS BIGINT) AS m FROM x JOIN c{i} c USING (d) GROUP BY vec_id, k) GROUP BY vec_id)")
+        if i < rounds:
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.k, c.d, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT k, d, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS v FROM x JOIN a{i} USING (vec_id) GROUP BY k, d) m USING (k, d))")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN (SELECT k, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY k) USING (k)"""
+
+
+def _codes_sql(entries: int = 64, rounds: int = 2) -> str:
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) > 0 AND len(embedding) % 16 = 0 AND {FINITE}),
+w AS (SELECT * FROM v WHERE len(e) = (SELECT arg_min(len(e), vec_id) FROM v)),
+x AS MATERIALIZED (SELECT vec_id, (i - 1) // (n // 16) AS p, (i - 1) % (n // 16) AS j, x FROM (SELECT vec_id, len(e) AS n, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM w)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM w QUALIFY k < {entries}), c0 AS MATERIALIZED (SELECT p, k, j, x FROM x JOIN s USING (vec_id))"""]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, p, min(m) % {entries} AS k, min(m) // {entries} AS away FROM (SELECT vec_id, x.p, k, CAST(sum((x.x - c.x) * (x.x - c.x)) * {entries} + k AS BIGINT) AS m FROM x JOIN c{i} c USING (p, j) GROUP BY vec_id, x.p, k) GROUP BY vec_id, p)")
+        if i < rounds:
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.p, c.k, c.j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT p, k, j, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM x JOIN a{i} USING (vec_id, p) GROUP BY p, k, j) m USING (p, k, j))")
+    return "WITH " + ",\n".join(steps) + f""",
+o AS (SELECT vec_id, lower(string_agg(printf('%02x', k), '' ORDER BY p)) AS code, CAST(sum(away) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, j)) FROM c{rounds}) AS codebooks_sha256 FROM o JOIN w USING (vec_id)"""
+
 
 ORACLES = {
     "op2_decontaminate": r"""
@@ -108,4 +149,6 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p)
 SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, (k // 4) * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+    "op11_centroid_clusters": _clusters_sql(),
+    "op12_vector_codes": _codes_sql(),
 }
