@@ -11,6 +11,7 @@ from .embedding_dedup import near_vectors
 from .html_extract import extract_main_text
 from .lm_score import score_texts
 from .minhash import near_duplicates
+from .mixing import mix
 from .packing import pack
 from .secrets import scan_secrets
 from .substring_dedup import remove_repeats
@@ -68,7 +69,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_lm_score, op4_toxicity, op5_substring_dedup, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets, op11_centroid_clusters, op12_vector_codes)}
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("rate")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_lm_score, op4_toxicity, op5_substring_dedup, op6_embedding_dedup, op7_minhash_forest, op8_warc, op9_packing, op10_secrets, op11_centroid_clusters, op12_vector_codes, op13_mixing)}
 
 FINITE = "embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
 
@@ -151,4 +156,27 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     "op11_centroid_clusters": _clusters_sql(),
     "op12_vector_codes": _codes_sql(),
+    "op13_mixing": r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, sha256(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS MATERIALIZED (SELECT source, size, count(*) AS n FROM d GROUP BY source, size),
+s AS MATERIALIZED (SELECT source, CAST(sum(size * n) AS BIGINT) AS source_size, min(CASE WHEN size > 0 THEN size END) AS least, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM c GROUP BY source),
+r AS (SELECT row_number() OVER w AS i, 3 * source_size / weight AS full_at, (sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST), b AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS MATERIALIZED (SELECT source, source_size, least, least(CAST(3 * source_size AS DOUBLE), weight * (SELECT arg_min(level, i) FROM r WHERE level <= full_at)) AS target FROM s),
+b AS (SELECT source, target, least(0, ln(target / source_size)) / least AS low, ln(3) / least AS high, 0 AS i FROM t WHERE target > 0
+      UNION ALL SELECT source, target, CASE WHEN f < target THEN mid ELSE low END, CASE WHEN f < target THEN high ELSE mid END, i + 1
+      FROM (SELECT b.source, target, low, high, i, (low + high) / 2 AS mid, sum(n * size * least(3, exp((low + high) / 2 * size))) AS f FROM b JOIN c ON b.source IS NOT DISTINCT FROM c.source WHERE i < 90 GROUP BY b.source, target, low, high, i)),
+q AS MATERIALIZED (SELECT c.source, size, n, source_size, t.target, CASE WHEN t.target >= 3 * source_size THEN 3 ELSE least(3, exp(high * size)) END AS rate
+      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM t.source AND i = 90),
+u AS (SELECT *, round(sum(n * rate) OVER (PARTITION BY source ORDER BY size DESC ROWS UNBOUNDED PRECEDING)) AS run FROM q WHERE size > 0),
+m AS (SELECT source, size, n, source_size, target, greatest(0, least(3 * n, CAST(run - coalesce(lag(run) OVER (PARTITION BY source ORDER BY size DESC), 0) AS BIGINT))) AS copies, 0 AS i FROM u
+      UNION ALL SELECT source, size, n, source_size, target, copies + CASE WHEN size = max(CASE WHEN change <> 0 THEN size END) OVER (PARTITION BY source) THEN change ELSE 0 END, i + 1
+      FROM (SELECT *, CAST(sign(missing) * least(CASE WHEN missing > 0 THEN 3 * n - copies ELSE copies END, floor(abs(missing) / size)) AS BIGINT) AS change
+            FROM (SELECT *, target - sum(size * copies) OVER (PARTITION BY source) AS missing FROM m WHERE i < 12))),
+f AS (SELECT source, size, n, source_size, target, copies FROM m WHERE i = 12 UNION ALL SELECT source, size, n, source_size, target, n FROM q WHERE size = 0),
+g AS (SELECT d.*, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(max(n) / 256) AS BIGINT)) FROM c) AS g FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, size, g ORDER BY h, doc_id) AS place, count(*) OVER (PARTITION BY source, size, g) AS own, count(*) OVER (PARTITION BY source, size ORDER BY g) AS upto FROM g),
+x AS (SELECT doc_id, o.size, source_size, target, copies // n + CASE WHEN place <= (copies % n * upto) // n - (copies % n * (upto - own)) // n THEN 1 ELSE 0 END AS copies
+      FROM o JOIN f ON o.source IS NOT DISTINCT FROM f.source AND o.size = f.size)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM x""",
 }
