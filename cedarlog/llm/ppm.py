@@ -58,6 +58,19 @@ class LowOrders:
             pairs, count, _ = _sums(part[by], n[by])
             contexts, total, _ = _sums(pairs >> BITS, count)
             self.tables.append((pairs, count, contexts, total, _sums(pairs >> BITS, (count > 0).astype(np.int64))[1]))
+        self.excluded = []  # of order j: what the symbols that a context one byte longer has seen count for at order j
+        for j in range(least - 1):
+            pairs, count, *_ = self.tables[j + 1]
+            own, _, _ = self.counts(pairs, j)
+            self.excluded.append(_sums(pairs >> BITS, np.where(count > 0, own, 0))[1])
+
+    def exclusions(self, keys: np.ndarray, j: int) -> np.ndarray:
+        """The sum at order ``j`` of all symbols that the context of order ``j`` + 1 (below ``least``) has seen anywhere."""
+        contexts, longer = self.tables[j + 1][2], (keys & mask(j + 1)) >> BITS
+        if not len(contexts):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(contexts, longer), len(contexts) - 1)
+        return np.where(contexts[at] == longer, self.excluded[j][at], 0)
 
     def counts(self, keys: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(count of the pair, sum and number of kinds of its context) at order ``j`` for each packed pair."""
@@ -77,7 +90,8 @@ def low_orders(keys: np.ndarray, n: np.ndarray, least: int = 3) -> LowOrders:
 def code_lengths(keys: np.ndarray, n: np.ndarray, low: LowOrders, order: int = ORDER) -> np.ndarray:
     """log10 probability of each packed pair, given all pairs that share its nearest bytes, as many as ``low`` has orders.
 
-    n: training counts (0: the pair only occurs in texts that are scored). low: stands for the orders below."""
+    n: training counts (0: the pair only occurs in texts that are scored). low: stands for the orders below, complete with
+    what their contexts have seen, so that values do not depend on which other pairs are at hand."""
     logp, open_ = np.zeros(len(keys)), np.ones(len(keys), dtype=bool)
     seen_above = np.zeros(len(keys), dtype=np.int64)  # distinct symbols of the next longer context
     mass_above = None
@@ -100,6 +114,8 @@ def code_lengths(keys: np.ndarray, n: np.ndarray, low: LowOrders, order: int = O
         # what the longer context has seen is excluded: its symbols' counts here do not take part
         if mass_above is None:
             rest, kinds_left = tot, dist
+        elif j < low.least - 1:  # the longer context's pairs lie in other tasks too
+            rest, kinds_left = tot - low.exclusions(keys, j), dist - seen_above
         else:
             longer, symbol_seen = mass_above
             up, at = np.unique(longer, return_inverse=True)
