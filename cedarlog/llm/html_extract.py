@@ -23,8 +23,10 @@ from .common import ids_back
 
 #: Quotes count after an equals sign only, and a tag that never closes takes the rest; possessive, so in linear time.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
-RAW = frozenset("script style noscript template textarea title iframe object svg annotation select option button canvas audio video xmp noembed noframes".split())
-ASIDE = frozenset("nav header footer aside form menu dialog".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg annotation select canvas audio video xmp noembed noframes".split())
+ASIDE = frozenset("nav header footer aside form menu dialog datalist option button".split())
+#: Elements that hold a line at most: a block that begins ends them, as their own end tags may be missing.
+SHORT = frozenset("p option button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mtable mtr mtd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_ARTICLE = frozenset(
@@ -32,6 +34,14 @@ NOT_ARTICLE = frozenset(
     " sidebar side header masthead footer cookie cookies consent notice gdpr alert newsletter subscribe signup login popup modal overlay"
     " comment comments disqus replies respond share sharing social related recommended toolbar pagination pager widget skip copyright legal".split()
 )
+#: Words of notices, which are none of the article however much they say.
+NOTICE = frozenset("cookie cookies consent gdpr".split())
+#: Words that say where or how a part of a page is laid out. Inside an article, a compound of a boilerplate word and any other
+#: word (share-price, side-note) is no boilerplate.
+LAYOUT = frozenset(
+    "site page main top bottom left right box bar wrap wrapper container section block inner outer list links link item items area panel content post article entry"
+    " button buttons btn icon icons form text message policy info title heading row col column group module component slot unit banner label meta tags tag social media more".split()
+)
 #: Words of sections that follow an article and may hold further <article> elements (a comment or a teaser each).
 AFTER_ARTICLE = frozenset("comment comments disqus replies respond related recommended".split())
 #: Words of a header that is an article's.
@@ -46,7 +56,7 @@ CLOSED_BY = {k: frozenset({k}) for k in ("p", "li", "option", "tr")} | {"dt": fr
 
 
 def _boilerplate(tag: str, attributes: str, in_article: bool) -> str | None:
-    """Why an element is boilerplate: hidden, its tag or role, or a word (after: of a section that follows an article)."""
+    """Why an element is boilerplate: hidden, its tag or role, or a word (notice: of a notice; after: of a section that follows an article)."""
     why = None
     if tag in ASIDE and not (tag == "header" and in_article):
         why = "word" if tag == "form" else "tag"
@@ -60,11 +70,15 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> str | None:
         if name == "role" and value in ROLES:
             why = "tag"
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = set(re.split(r"[^a-z]+", value))
+            words = set()
+            for one in value.split():
+                of = {w for w in re.split(r"[^a-z]+", one) if w}
+                if not in_article or not of & NOT_ARTICLE or of <= NOT_ARTICLE | LAYOUT:
+                    words |= of
             if tag == "header" and words & OF_ARTICLE:
                 why = None
             elif words := words & NOT_ARTICLE:
-                why = why if why == "tag" else "after" if why == "after" or words & AFTER_ARTICLE else "word"
+                why = why if why == "tag" else "notice" if why == "notice" or words & NOTICE else "after" if why == "after" or words & AFTER_ARTICLE else "word"
     return why
 
 
@@ -97,7 +111,9 @@ def _switched_off(marked: list[tuple[str, int, int]], articles: list[tuple[str,
     off: list[int] = []
     for i, (why, up, around) in enumerate(marked):
         drop = why == "hidden" or (why == "tag" and not main[i])
-        if why in ("word", "after"):
+        if why == "notice":
+            drop = not (main[i] or first[i])
+        elif why in ("word", "after"):
             article = main[i] or first[i] or (why == "word" and inside[i] > 0)
             elsewhere = inside[i] + around < len(articles)
             most = 2 * size[i] > total and (blocks[i] > 1 or not articles) and not (elsewhere and why == "after")
@@ -181,7 +197,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             if not m[0].endswith("/>"):
                 at = close.end() if close else size
-            if tag not in INLINE and tag in ("title", "option", "select", "button"):
+            if tag in ("title", "select"):
                 end()
             continue
         if tag == "a":
@@ -193,7 +209,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             links = 0
             if tag in VOID:
                 continue
-            if stack and stack[-1][0] in CLOSED_BY.get(tag, ()) or stack and stack[-1][0] == "p":
+            if stack and (stack[-1][0] in CLOSED_BY.get(tag, ()) or (stack[-1][0] in SHORT and not (tag == "button" and stack[-1][0] == "p"))):
                 pop()
             push(tag, _boilerplate(tag, m[3], opened["article"] > 0))
         elif tag not in VOID and m[3].strip() and (why := _boilerplate(tag, m[3], False)):  # an inline element that is a notice or advert
