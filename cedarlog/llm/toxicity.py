@@ -120,18 +120,25 @@ def _association(n0: int, n1: int):
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_BOUND, sizes=SIZES, slots: int = SLOTS, folds: int = FOLDS) -> ToxicityModel:
-    """Fits on labelled rows outside fold 0 of crc32(doc_id) mod ``folds``, at most ``bound`` of them, least hash first.
+    """Fits on labelled rows outside fold 0 of crc32(doc_id) mod ``folds``, at most ``bound`` of them, least hash first; rows
+    that are equal in id and text count once.
 
     Null ids, texts or labels teach nothing; a document with several labels is toxic if any says so. The driver gets
     the slots that rank first, at most ``ENTRIES`` / ``LEAST_TEXTS`` for each of at most ``bound`` texts, and ``ENTRIES``
     places of used slots for each text on average."""
     known = labels.filter(f"toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS string)) % {folds} != 0")
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    own = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    # an id may have many rows: one for each of its texts, and of these at most ``bound``, are taken, by hashes first
+    taken = own.join(F.broadcast(known), "doc_id").select("doc_id", "h", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(bound)
+    taken = materialize(taken, "toxicity-ids")
+    texts = materialize(own.join(F.broadcast(taken), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-texts")
+    discard(taken)
     counts = materialize(texts.mapInPandas(_counts(sizes, slots), "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
     total = counts.filter("slot < 0").first()
     n0, n1 = (total["clean"], total["toxic"]) if total else (0, 0)
     if not n0 or not n1:
+        discard(texts)
         return ToxicityModel(sizes, slots, np.empty(0, dtype=np.int64), np.empty(0), float(np.log((n1 + 1) / (n0 + 1))))
     p, q = (F.col("toxic") + 1) / (n1 + 2), (F.col("clean") + 1) / (n0 + 2)
     held, entries = F.col("toxic") + F.col("clean"), ENTRIES * (n0 + n1)
@@ -152,6 +159,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_BOUND
     at = chosen["slot"].to_numpy(dtype=np.int64)
     rows = texts.mapInPandas(_rows(sizes, slots, at), "toxic int, at binary").toArrow().to_pandas()
     weights, bias = _logistic([np.frombuffer(x, dtype="<i4") for x in rows["at"]], rows["toxic"].to_numpy(dtype=float), chosen["r"].to_numpy())
+    discard(texts)
     del rows, chosen
     give_back()  # what the fit held would stay with the driver for the later stages
     return ToxicityModel(sizes, slots, at, weights, bias)
