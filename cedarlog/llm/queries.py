@@ -128,7 +128,7 @@ o AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM
 s AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM o GROUP BY doc_id, g),
 k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS was FROM s),
 a AS (SELECT k.doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
-SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256, TRY(decode(unhex(coalesce(kept, x)))) AS text FROM d LEFT JOIN a USING (doc_id)""",
     "op6_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
