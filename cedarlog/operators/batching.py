@@ -1,9 +1,9 @@
 """Ordered batching of records per trace.
 
-Batches by count alone are window expressions. Batches by bytes, limits and quotas depend on what was admitted before, so
-they are a fold over each key's records in order: rows are shuffled by key, sorted inside the partition, and streamed
-through a small state, one key after the other. No group is held in memory, and what a batch contains is then an ordinary
-aggregation.
+Batches by count alone are window expressions; batches by count and bytes come from cut points (``cutting``), which divide a
+long trace over many tasks. What a batch contains is then an ordinary aggregation. Limits and quotas in which a record
+that does not fit is left out, so that a later one may fit, are a fold over each key's records in order: keys, order and
+inputs are shuffled by key, sorted inside the partition, and streamed through a small state.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sizing import line_bytes, segment_bytes
-from ..schema import level_rank
+from ..functions.sizing import entry_bytes, line_bytes, segment_bytes, string_bytes
+from ..schema import high_priority, level_rank
+from .cutting import RANGE, Limits, cut_batches
 
 LEAST_BATCH_BYTES = 1024
 
@@ -24,8 +25,8 @@ LEAST_BATCH_BYTES = 1024
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], outputs: str, start: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """``df`` with columns ``outputs`` (DDL) that a fold gives each row.
 
-    start() makes the step function of a key; a step takes the ``inputs`` of a row and returns its outputs. Only keys,
-    order and inputs go through Python, next to the row's other columns as Arrow batches."""
+    start() makes the step function of a key; a step takes the ``inputs`` of a row and returns its outputs. A key is one task's
+    and the other columns travel along as Arrow batches: give it the columns it needs."""
     names = [x.split()[0] for x in outputs.split(", ")]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), outputs])
 
@@ -47,9 +48,51 @@ def batches_by_count(most: int, key: str = "trace_id", order: str = "seq") -> Co
     return F.floor((F.row_number().over(W.partitionBy(key).orderBy(order)) - 1) / max(1, most)).cast("long")
 
 
-def pipeline_batches(most: int, most_bytes: int, floor: int = LEAST_BATCH_BYTES):
+def pipeline_limits(most: int, most_bytes: int, floor: int = LEAST_BATCH_BYTES) -> Limits:
     """Add, then close once count or bytes reach their limit; a new pattern version closes before. Batches may exceed the
     byte limit by their last record."""
+    return Limits(max(1, most), max(floor, most_bytes))
+
+
+def legacy_single(df: DataFrame, most: int, most_bytes: int, overflow: str = "FLUSH_EARLY", range_rows: int = RANGE) -> DataFrame:
+    """Records that a legacy buffer hands on one by one, with the batch that they are handed on in and their fate.
+
+    A record's size is that of the entry (``sizing.entry_bytes``). One larger than the byte limit is handed on at once
+    (batch -1 and below, fate direct); the others fill the buffer, which is emptied before a record that would exceed a limit
+    and once a limit is reached (FLUSH_EARLY), evicts its oldest (DROP_OLDEST) or refuses what does not fit (DROP_NEWEST)."""
+    sized = df.withColumn("bytes", entry_bytes())
+    large = F.col("bytes") > most_bytes if most_bytes > 0 else F.lit(False)
+    direct_ = sized.filter(large).withColumns({"batch_id": -1 - F.col("seq").cast("long"), "fate": F.lit("direct")})
+    rest = sized.filter(~large)
+    if overflow == "DROP_OLDEST":
+        held = evict_oldest(rest, most, most_bytes, "bytes").withColumn("batch_id", F.when(F.col("fate") == "kept", F.lit(0)).cast("long"))
+    elif overflow == "DROP_NEWEST":
+        held = refuse_newest(rest, most, most_bytes, "bytes").withColumn("batch_id", F.when(F.col("fate") == "buffered", F.lit(0)).cast("long"))
+    else:
+        held = cut_batches(rest, Limits(max(1, most), max(0, most_bytes), before=True), range_rows=range_rows).drop("last_batch").withColumn("fate", F.lit("buffered"))
+    return held.unionByName(direct_)
+
+
+def refuse_newest(df: DataFrame, most: int, most_bytes: int, size: str, key: str = "trace_id", order: str = "seq") -> DataFrame:
+    """DROP_NEWEST: a record that does not fit is refused, a later and smaller one may fit. fate: buffered or
+    buffer_overflow_rejected. Without a byte limit the first ``most`` records of a key fit."""
+    if most_bytes <= 0:
+        fits = F.row_number().over(W.partitionBy(key).orderBy(order)) <= max(1, most)
+        return df.withColumn("fate", F.when(fits, "buffered").otherwise("buffer_overflow_rejected"))
+    return ordered_fold(df.withColumn("__size", F.col(size)), [key], [order], ["__size"], "__batch long, fate string", legacy_batches(most, most_bytes, "DROP_NEWEST")).drop("__size", "__batch")
+
+
+def limit_reason(most: int, policy: str = "STOP_COLLECTING", mode: str = "pipeline", key: str = "trace_id", order: str = "seq") -> Column:
+    """``total_limits`` where only the count is limited and nothing is sampled: until the limit every record counts, so it is
+    reached at a record's number."""
+    over = F.row_number().over(W.partitionBy(key).orderBy(order)) > most if most > 0 else F.lit(False)
+    if mode == "legacy" and policy == "DOWNGRADE_LEVEL":
+        return F.when(over & ~high_priority(F.col("level")), "total_limit_downgrade")
+    return F.when(over, "total_limit_reached")
+
+
+def pipeline_batches(most: int, most_bytes: int, floor: int = LEAST_BATCH_BYTES):
+    """``pipeline_limits`` as a fold: the definition, one record after the other."""
     most, most_bytes = max(1, most), max(floor, most_bytes)
 
     def start():
@@ -218,7 +261,7 @@ def flush_id(trace: Column, batch: Column) -> Column:
 
 def finalise(df: DataFrame, separator: str = "\n", key: str = "trace_id", legacy: bool = False, line: str = "line", size: str = "bytes", by_time: bool = False) -> DataFrame:
     """One row per batch: lines joined in order, count, bytes, the highest level (as the first record that has it spells it;
-    legacy never goes below TRACE), first and last time in order (or least and greatest positive ones, ``by_time``), and
+    legacy never goes below TRACE), first and last time in order (or, ``by_time``, least and greatest positive ones, where the size is that of the joined content), and
     whether it is the trace's last batch. A batch's size is bounded by its limits, so its lines fit in one row."""
     if legacy:
         level = F.when(F.max(level_rank(F.col("level"))) > 0, F.max_by("level", F.struct(level_rank(F.col("level")), -F.col("seq")))).otherwise("TRACE")
@@ -232,9 +275,14 @@ def finalise(df: DataFrame, separator: str = "\n", key: str = "trace_id", legacy
         level.alias("max_level"),
         F.timestamp_millis(F.min(positive) if by_time else F.min_by("ts_ms", "seq")).alias("first_time"),
         F.timestamp_millis(F.max(positive) if by_time else F.max_by("ts_ms", "seq")).alias("last_time"),
+        *([F.max("last_batch").alias("last_batch")] if "last_batch" in df.columns else []),
     )
-    last = F.max("batch_id").over(W.partitionBy(key))
-    return grouped.withColumn("flush_id", flush_id(F.col(key), F.col("batch_id"))).withColumn("final_flush", F.col("batch_id") == last)
+    if by_time:
+        grouped = grouped.withColumn("total_bytes", string_bytes(F.col("content")))
+    grouped = grouped.withColumn("flush_id", flush_id(F.col(key), F.col("batch_id")))
+    if "last_batch" in df.columns:
+        return grouped.withColumn("final_flush", F.col("batch_id") == F.col("last_batch")).drop("last_batch")
+    return grouped.withColumn("final_flush", F.col("batch_id") == F.max("batch_id").over(W.partitionBy(key)))
 
 
 def aggregate(df: DataFrame, most: int = 100, most_bytes: int = 1 << 20, mode: str = "pipeline", overflow: str = "FLUSH_EARLY", separator: str = "\n", floor: int = LEAST_BATCH_BYTES) -> DataFrame:
@@ -244,18 +292,19 @@ def aggregate(df: DataFrame, most: int = 100, most_bytes: int = 1 << 20, mode: s
         df = df.withColumn("pattern_version", F.lit(1))
     if mode == "pipeline":
         sized = df.withColumn("bytes", line_bytes(F.col("line")))
-        folded = ordered_fold(sized, ["trace_id"], ["seq"], ["bytes", "pattern_version"], "batch_id long", pipeline_batches(most, most_bytes, floor))
-        return finalise(folded, "\n")
+        return finalise(cut_batches(sized, pipeline_limits(most, most_bytes, floor), version="pattern_version"), "\n")
     sized = df.filter(F.length("line") > 0).withColumn("bytes", segment_bytes(F.col("line")))
     rest = sized.filter(F.col("bytes") <= most_bytes) if most_bytes > 0 else sized
     if overflow == "DROP_OLDEST":
         folded = evict_oldest(rest, most, most_bytes, "bytes").filter("fate = 'kept'").withColumn("batch_id", F.lit(0).cast("long"))
+    elif overflow == "DROP_NEWEST":
+        folded = refuse_newest(rest, most, most_bytes, "bytes").filter("fate = 'buffered'").withColumn("batch_id", F.lit(0).cast("long"))
     else:
-        folded = ordered_fold(rest, ["trace_id"], ["seq"], ["bytes"], "batch_id long, fate string", legacy_batches(most, most_bytes, overflow)).filter("batch_id >= 0")
+        folded = cut_batches(rest, Limits(max(1, most), max(0, most_bytes), before=True))
     if versions:  # what is drained together is written in parts of one pattern version each
         w = W.partitionBy("trace_id").orderBy("seq")
         here, before = F.struct("batch_id", "pattern_version"), F.lag(F.struct("batch_id", "pattern_version")).over(w)
-        folded = folded.withColumn("__new", (~here.eqNullSafe(before)).cast("long")).withColumn("batch_id", F.sum("__new").over(w) - 1).drop("__new")
+        folded = folded.withColumn("__new", (~here.eqNullSafe(before)).cast("long")).withColumn("batch_id", F.sum("__new").over(w) - 1).drop("__new", "last_batch")
     batches = finalise(folded, separator, legacy=True)
     if most_bytes <= 0:
         return batches

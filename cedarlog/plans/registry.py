@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import layout, sizing, text
-from ..operators import batching, filters, metrics, reliability, sinks
+from ..operators import batching, cutting, filters, metrics, reliability, sinks
 from ..schema import high_priority, level_rank, resolve_mode, winning_properties
 from ..sources import adapters
 
@@ -129,8 +129,8 @@ def flt_queue_shedding(spark, sf_dir):
 
 @query(f"WITH {LOGS} SELECT trace_id, count(*) AS n, sum(CASE WHEN rank >= 3 THEN 1 ELSE 0 END)::BIGINT AS kept FROM logs GROUP BY trace_id")
 def flt_retain_high(spark, sf_dir):
-    grouped = _logs(spark, sf_dir).groupBy("trace_id").agg(F.collect_list(F.struct("level")).alias("entries"))
-    return grouped.select("trace_id", F.size("entries").cast("long").alias("n"), F.size(filters.retain_high(F.col("entries"))).cast("long").alias("kept"))
+    batches = _logs(spark, sf_dir).withColumn("batch_id", batching.batches_by_count(100)).groupBy("trace_id", "batch_id").agg(F.collect_list(F.struct("level")).alias("entries"))
+    return batches.groupBy("trace_id").agg(F.sum(F.size("entries")).alias("n"), F.sum(F.size(filters.retain_high(F.col("entries")))).alias("kept"))
 
 
 @query(f"WITH {LOGS}, n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM logs) SELECT trace_id, seq FROM n WHERE n % 3 = 0")
@@ -342,19 +342,36 @@ def agg_drop_newest(spark, sf_dir):
 )
 def agg_single_batches(spark, sf_dir):
     df = _logs(spark, sf_dir).withColumn("bytes", sizing.line_bytes(F.col("content")))
-    return batching.ordered_fold(df, ["trace_id"], ["seq"], ["bytes"], "batch_id long", batching.single_batches(25, 700)).select("trace_id", "seq", "batch_id")
+    return cutting.cut_batches(df, cutting.Limits(25, 700)).select("trace_id", "seq", "batch_id")
+
+
+ENTRY_SQL = f"""CAST(112 + {" + ".join(_s_sql(c) for c in ("trace_id", "content", "level", "thread_name", "logger_name", "throwable"))} + 208 + 48 + {_s_sql("'k'")} + {_s_sql("mdc_k")} AS BIGINT)"""
+
+
+@query(
+    f"""WITH RECURSIVE {LOGS}, r AS (SELECT * REPLACE (CASE WHEN event_id % 37 = 0 THEN repeat(content, 200) ELSE content END AS content) FROM logs), e AS (SELECT *, {ENTRY_SQL} AS bytes FROM r),
+    s AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS i FROM e WHERE bytes <= 6000),
+    f AS (SELECT trace_id, i, 0 AS batch_id, 1 AS n, bytes AS total FROM s WHERE i = 1 UNION ALL
+      SELECT s.trace_id, s.i, p.batch_id + brk::INT, CASE WHEN brk THEN 1 ELSE p.n + 1 END, CASE WHEN brk THEN s.bytes ELSE p.total + s.bytes END
+      FROM f p JOIN s ON s.trace_id = p.trace_id AND s.i = p.i + 1, LATERAL (SELECT p.n + 1 > 9 OR p.total + s.bytes > 6000 OR p.total >= 6000 AS brk))
+    SELECT trace_id, seq, bytes, CAST(f.batch_id AS BIGINT) AS batch_id, 'buffered' AS fate FROM s JOIN f USING (trace_id, i)
+    UNION ALL SELECT trace_id, seq, bytes, -1 - seq, 'direct' FROM e WHERE bytes > 6000"""
+)
+def agg_legacy_single(spark, sf_dir):
+    df = _logs(spark, sf_dir).withColumn("content", F.when(F.col("seq") % 37 == 0, F.repeat("content", 200)).otherwise(F.col("content")))
+    return batching.legacy_single(df, 9, 6000).select("trace_id", "seq", "bytes", "batch_id", "fate")
 
 
 @query(f"WITH {LOGS}, n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM logs) SELECT trace_id, seq, CASE WHEN n > 40 THEN 'total_limit_reached' END AS reason FROM n")
 def agg_total_limit(spark, sf_dir):
     df = _logs(spark, sf_dir).withColumns({"bytes": sizing.aggregate_bytes(), "high": high_priority(F.col("level"))})
-    return batching.ordered_fold(df, ["trace_id"], ["seq"], ["bytes", "high"], "reason string", batching.total_limits(40, 0)).select("trace_id", "seq", "reason")
+    return df.select("trace_id", "seq", batching.limit_reason(40).alias("reason"))
 
 
 @query(f"WITH {LOGS}, n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM logs) SELECT trace_id, seq, CASE WHEN n > 40 AND rank < 3 THEN 'total_limit_downgrade' END AS reason FROM n")
 def agg_limit_downgrade(spark, sf_dir):
     df = _logs(spark, sf_dir).withColumns({"bytes": sizing.processed_bytes(), "high": high_priority(F.col("level"))})
-    return batching.ordered_fold(df, ["trace_id"], ["seq"], ["bytes", "high"], "reason string", batching.total_limits(40, 0, "DOWNGRADE_LEVEL", "legacy")).select("trace_id", "seq", "reason")
+    return df.select("trace_id", "seq", batching.limit_reason(40, "DOWNGRADE_LEVEL", "legacy").alias("reason"))
 
 
 @query(
