@@ -29,6 +29,12 @@ def below_level(level: Column, least: str) -> Column:
     return level.isNull() | (level_rank(level) < config_rank(least))
 
 
+def below_configured(level: Column, configured: Column) -> Column:
+    """As ``below_level`` where every record has a threshold of its own."""
+    name = F.upper(F.trim(configured))
+    return level.isNull() | (level_rank(level) < level_rank(F.when(name == "WARNING", "WARN").otherwise(name)))
+
+
 def excluded(logger: Column, prefixes: Sequence[str]) -> Column:
     return F.coalesce(_any([logger.startswith(p) for p in prefixes if p]), F.lit(False))
 

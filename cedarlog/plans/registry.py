@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import layout, sizing, text
-from ..operators import batching, cutting, filters, metrics, reliability, sinks
+from ..operators import asof, batching, cutting, filters, metrics, reliability, sinks
 from ..schema import high_priority, level_rank, resolve_mode, winning_properties
 from ..sources import adapters
 
@@ -616,6 +616,41 @@ def cfg_resolution(spark, sf_dir):
     return winning_properties(m.unionByName(g))
 
 
+def _as_of_sql() -> str:
+    """One ASOF join for each key, scope and source: 12 of them, the last change of each, the first of which that is set wins."""
+    joins, columns = "", []
+    for key, valid in (("level", "true"), ("max_buffer_size", "regexp_full_match(trim(value), '[+-]?[0-9]{1,18}')")):
+        found = []
+        for scope in ("method", "global"):
+            for order in (100, 200, 1000):
+                name = f"{key}_{scope}_{order}"
+                same = "l.method_key = " + name + ".method_key AND " if scope == "method" else ""
+                joins += f" ASOF LEFT JOIN (SELECT method_key, from_ms, CASE WHEN {valid} THEN trim(value) END AS value FROM v WHERE key = '{key}' AND scope = '{scope}' AND source_order = {order}) {name} ON {same}l.ts_ms >= {name}.from_ms"
+                found.append(f"{name}.value")
+        columns.append(f"coalesce({', '.join(found)}, '{'INFO' if key == 'level' else '100'}') AS cfg_{key}")
+    return f"""WITH {LOGS}, h AS (SELECT ts_ms AS from_ms, event_id AS version, [100, 200, 1000][CAST(event_id // 29 % 3 + 1 AS INT)] AS source_order, CASE WHEN event_id // 29 % 4 = 0 THEN 'global' ELSE 'method' END AS scope,
+      CASE WHEN event_id // 29 % 4 = 0 THEN '' ELSE method_key END AS method_key, ['level', 'max_buffer_size'][CAST(event_id // 348 % 2 + 1 AS INT)] AS key,
+      CASE WHEN event_id // 348 % 2 = 0 THEN ['DEBUG', 'WARN', 'ERROR', NULL, 'INFO'][CAST(event_id // 29 % 5 + 1 AS INT)] ELSE CASE WHEN event_id // 29 % 7 = 0 THEN 'many' ELSE CAST(event_id % 200 AS VARCHAR) END END AS value FROM logs WHERE event_id % 29 = 0),
+    v AS (SELECT scope, method_key, source_order, key, from_ms, arg_max_null(value, version) AS value FROM h GROUP BY ALL),
+    c AS (SELECT l.*, {', '.join(columns)} FROM logs l{joins})
+    SELECT trace_id, seq, cfg_level, cfg_max_buffer_size, CASE WHEN rank < CASE cfg_level WHEN 'ERROR' THEN 4 WHEN 'WARN' THEN 3 WHEN 'INFO' THEN 2 WHEN 'DEBUG' THEN 1 ELSE 0 END THEN 'level_filter' END AS reason FROM c"""
+
+
+@query(_as_of_sql())
+def cfg_as_of(spark, sf_dir):
+    """Settings in force at each record: every 29th event is a change of some source's property, for its method or for all."""
+    logs = _logs(spark, sf_dir)
+    nth, of = F.floor(F.col("seq") / 29), F.floor(F.col("seq") / 348)
+    pick = lambda values, i: F.element_at(F.array(*(F.lit(v) for v in values)), (i % len(values) + 1).cast("int"))
+    changes = logs.filter("seq % 29 = 0").select(
+        F.col("ts_ms").alias("from_ms"), F.col("seq").alias("version"), pick((100, 200, 1000), nth).alias("source_order"), F.when(nth % 4 == 0, "global").otherwise("method").alias("scope"), "method_key",
+        pick(("level", "max_buffer_size"), of).alias("key"),
+        F.when(of % 2 == 0, pick(("DEBUG", "WARN", "ERROR", None, "INFO"), nth)).when(nth % 7 == 0, "many").otherwise((F.col("seq") % 200).cast("string")).alias("value"),
+    )
+    out = asof.configured(logs, changes, ["level", "max_buffer_size"], [100, 200, 1000])
+    return out.select("trace_id", "seq", "cfg_level", "cfg_max_buffer_size", F.when(filters.below_configured(F.col("level"), F.col("cfg_level")), "level_filter").alias("reason"))
+
+
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN ['SINGLE', 'AGGREGATE'][CAST(event_id % 3 AS INT)] END, CASE WHEN event_id % 2 = 0 THEN 'SINGLE' END, 'AGGREGATE') AS mode FROM events")
 def cfg_modes(spark, sf_dir):
     configured = F.when(F.col("event_id") % 3 == 1, "SINGLE").when(F.col("event_id") % 3 == 2, "AGGREGATE").otherwise("AUTO")

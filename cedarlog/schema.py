@@ -143,9 +143,14 @@ def resolve_mode(configured: Column, preferred: Column) -> Column:
 
 
 def winning_properties(properties):
-    """The value that wins for each (method_key, key) of a table (source_order, scope, method_key, key, value), as an aggregate."""
+    """The value that wins for each (method_key, key) of a table (source_order, scope, method_key, key, value), as an aggregate.
+
+    Global values are one map (of as many entries as there are keys), looked up by a scalar subquery for each method."""
     own = properties.filter(~((F.col("scope") == "method") & F.col("key").rlike("^(" + "|".join(GLOBAL_ONLY) + ")")))
-    methods = own.filter("scope = 'method'").select("method_key").distinct()
-    spread = own.filter("scope = 'global'").drop("method_key").join(methods).select("method_key", "scope", "source_order", "key", "value")
-    both = own.filter("scope = 'method'").select("method_key", "scope", "source_order", "key", "value").unionByName(spread)
-    return both.groupBy("method_key", "key").agg(F.max_by("value", F.struct((F.col("scope") == "method").cast("int"), -F.col("source_order"))).alias("value"))
+    best = F.max_by("value", F.struct(-F.col("source_order"), F.col("value"))).alias("value")
+    entries = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    whole = own.filter("scope = 'global'").groupBy("key").agg(best).agg(entries.alias("m")).scalar()
+    each = own.filter("scope = 'method'").groupBy("method_key", "key").agg(best).groupBy("method_key").agg(entries.alias("own"))
+    each = each.withColumn("whole", F.coalesce(whole, F.create_map().cast("map<string,string>")))
+    rest = F.map_filter("whole", lambda k, _: ~F.array_contains(F.map_keys("own"), k))
+    return each.select("method_key", F.explode(F.map_concat("own", rest)).alias("key", "value"))
