@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -93,10 +93,10 @@ def single_rows(records: DataFrame) -> DataFrame:
     return records.select("trace_id", "content", "level", F.timestamp_millis("ts_ms").alias("time"))
 
 
-def aggregate_rows(batches: DataFrame, written: DataFrame | None = None) -> DataFrame:
-    """What a batch's row holds; batches whose flush_id is written already are left out."""
+def aggregate_rows(batches: DataFrame, written: DataFrame | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """What a batch's row holds (and ``also`` further columns); batches whose flush_id is written already are left out."""
     new = batches if written is None else batches.join(written.select("flush_id"), "flush_id", "left_anti")
-    return new.select("trace_id", "content", "entry_count", "max_level", F.col("final_flush").alias("is_final"), F.col("last_time").alias("time"))
+    return new.select("trace_id", "content", "entry_count", "max_level", F.col("final_flush").alias("is_final"), F.col("last_time").alias("time"), *also)
 
 
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
