@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import layout, sizing, text
-from ..operators import asof, batching, cutting, filters, metrics, reliability, sinks
+from ..operators import asof, batching, cutting, degraded, filters, ledger, metrics, monitoring, reliability, sinks
 from ..schema import high_priority, level_rank, resolve_mode, winning_properties
-from ..sources import adapters
+from ..scratch import shared_dir
+from ..sources import adapters, logfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -693,6 +695,145 @@ def sec_mdc(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", mdc.alias("m")).select("conv_id", "turn", F.col("m")["role_x"].alias("role_x"), F.col("m")["text"].alias("text"))
 
 
+# ---- alerts, sketches and counter families -------------------------------------------------------------------------------
+
+HOUR = 3_600_000
+ALERTS = (
+    monitoring.Rule("breaker_open", "circuit.state", "gauge", True, 0, 2 * HOUR, "warning"),
+    monitoring.Rule("high_discard_rate", "discarded.total", "rate", True, 3 / 3600, 2 * HOUR, "warning", 5 * HOUR),
+    monitoring.Rule("buffer_high_utilization", "buffer.global.utilization", "gauge", True, 0.5, 3 * HOUR, "warning"),
+    monitoring.Rule("degrade_disk_low", "degrade.file.disk.free.bytes", "gauge", False, 1 << 30, 2 * HOUR, "critical"),
+)
+
+
+@query(
+    f"""WITH s AS (SELECT 'breaker_open' AS rule, 'm' || (user_id % 10) AS series, epoch_ms(ts) AS tm, CAST(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS DOUBLE) AS v FROM events
+      UNION ALL SELECT 'high_discard_rate', event_type, epoch_ms(ts), CAST((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)) % 40 AS DOUBLE) FROM events
+      UNION ALL SELECT 'buffer_high_utilization', 'all', epoch_ms(ts), (event_id % 100) / 100.0 FROM events UNION ALL SELECT 'degrade_disk_low', 'all', epoch_ms(ts), CAST(event_id * 37 % 1000 * 2147483 AS DOUBLE) FROM events),
+    r AS (SELECT *, CAST(ceil(tm / {HOUR}) AS BIGINT) * {HOUR} AS g, v - lag(v) OVER (PARTITION BY rule, series ORDER BY tm, v) AS d FROM s),
+    p AS (SELECT rule, series, g, sum(CASE WHEN d < 0 THEN v ELSE coalesce(d, 0) END) AS more, arg_max(v, (tm, v)) AS v FROM r GROUP BY ALL),
+    l AS (SELECT rule, series, min(g) AS low FROM p GROUP BY ALL), k AS (SELECT rule, series, unnest(range(low, (SELECT max(g) + {HOUR} FROM p), {HOUR})) AS g FROM l),
+    m AS (SELECT k.rule, k.series, k.g, CASE WHEN k.rule = 'high_discard_rate' THEN coalesce(sum(more) OVER (PARTITION BY k.rule, k.series ORDER BY k.g RANGE BETWEEN {5 * HOUR - 1} PRECEDING AND CURRENT ROW), 0) / {5 * 3600}
+      ELSE last_value(v IGNORE NULLS) OVER (PARTITION BY k.rule, k.series ORDER BY k.g RANGE BETWEEN {2 * HOUR - 1} PRECEDING AND CURRENT ROW) END AS x FROM k LEFT JOIN p USING (rule, series, g)),
+    h AS (SELECT *, coalesce(CASE rule WHEN 'breaker_open' THEN x > 0 WHEN 'high_discard_rate' THEN x > 3 / 3600 WHEN 'buffer_high_utilization' THEN x > 0.5 ELSE x < 1073741824 END, false) AS holds FROM m),
+    b AS (SELECT *, holds AND NOT coalesce(lag(holds) OVER (PARTITION BY rule, series ORDER BY g), false) AS begins FROM h), i AS (SELECT *, sum(begins::INT) OVER (PARTITION BY rule, series ORDER BY g) AS island FROM b),
+    a AS (SELECT rule, series, min(g) AS pending_from, max(g) AS last, CASE WHEN rule = 'degrade_disk_low' THEN min(x) ELSE max(x) END AS worst FROM i WHERE holds GROUP BY rule, series, island)
+    SELECT rule, CASE WHEN rule = 'degrade_disk_low' THEN 'critical' ELSE 'warning' END AS severity, series, pending_from, CASE WHEN pending_from + w <= last THEN pending_from + w END AS firing_from,
+      CASE WHEN last < (SELECT max(g) FROM p) THEN last + {HOUR} END AS ended_at, round(worst, 6) AS worst FROM (SELECT *, CASE WHEN rule = 'buffer_high_utilization' THEN {3 * HOUR} ELSE {2 * HOUR} END AS w FROM a)"""
+)
+def met_alert_rules(spark, sf_dir):
+    """Four rules over samples that events make; hours for minutes, as events are minutes apart."""
+    e = _table(spark, sf_dir, "events").withColumn("at_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    state = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
+    counter = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")) % 40
+    parts = [
+        ("circuit.state", F.concat(F.lit("m"), F.col("user_id") % 10), state), ("discarded.total", F.col("event_type"), counter),
+        ("buffer.global.utilization", F.lit("all"), (F.col("event_id") % 100) / 100), ("degrade.file.disk.free.bytes", F.lit("all"), F.col("event_id") * 37 % 1000 * 2147483),
+    ]
+    samples = None
+    for metric, series, value in parts:
+        one = e.select(F.lit(metric).alias("metric"), series.alias("series"), "at_ms", value.cast("double").alias("value"))
+        samples = one if samples is None else samples.unionByName(one)
+    return monitoring.alert_intervals(samples, ALERTS, HOUR, 2 * HOUR).withColumn("worst", F.round("worst", 6))
+
+
+@query("SELECT event_type, epoch_ms(date_trunc('day', ts)) AS day_ms, count(value) AS n, true AS within FROM events GROUP BY 1, 2")
+def met_sketch_timers(spark, sf_dir):
+    """Sketches of five minutes, merged to hours and then to days; within: each quantile's rank among the day's own values is at most a percent off."""
+    e = _table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    kept = monitoring.sketches(e, ["event_type"], "value", "at")
+    days = monitoring.timer_rows(monitoring.merged(monitoring.merged(kept, ["event_type"], "1 hour"), ["event_type"], "1 day"), ["event_type"])
+    own = e.filter("value IS NOT NULL").select("event_type", F.date_trunc("day", "at").alias("start"), "value")
+    both = own.join(days, ["event_type", "start"])
+    off = [((F.count_if(F.col("value") < F.col(q)) <= (p + 0.01) * F.max("n")) & (F.count_if(F.col("value") <= F.col(q)) >= (p - 0.01) * F.max("n"))) for q, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    return both.groupBy("event_type", F.unix_millis("start").alias("day_ms")).agg(F.max("n").alias("n"), (off[0] & off[1] & off[2]).alias("within"))
+
+
+FAMILY_ROWS = f"""WITH {LOGS}, k AS (SELECT *, event_type AS method, {REASON} AS reason, event_id % 4 = 0 AS sanitized, event_id % 6 = 0 AS masked, event_id % 5 = 1 AS fast_path, CASE WHEN event_id % 97 = 0 THEN 'mask' END AS timeout_step FROM logs),
+    c AS (SELECT *, CASE WHEN event_id % 31 = 0 THEN 'backpressure_pause' ELSE reason END AS why FROM k), b AS (SELECT trace_id, method, event_id // 50 AS nr, count(*) AS entries FROM c WHERE why IS NULL GROUP BY ALL),
+    o AS (SELECT *, ['count', 'bytes', 'final'][CAST(nr % 3 + 1 AS INT)] AS trigger, CASE WHEN nr % 7 = 0 THEN NULL ELSE nr % 5 > 0 END AS persisted FROM b),
+    f AS (SELECT 'collected' AS family, level, method, 'AGGREGATE' AS mode, NULL AS reason, NULL AS trigger, NULL AS overflow, NULL AS type, NULL AS outcome, NULL AS strategy, NULL AS step, NULL AS source, 1 AS n FROM c WHERE why IS NULL
+      UNION ALL BY NAME SELECT 'discarded' AS family, method, why AS reason, 1 AS n FROM c WHERE why IS NOT NULL UNION ALL BY NAME SELECT 'sanitize.hits' AS family, method, 1 AS n FROM c WHERE sanitized
+      UNION ALL BY NAME SELECT 'mask.hits' AS family, method, 1 AS n FROM c WHERE masked UNION ALL BY NAME SELECT 'fastpath.hits' AS family, method, 1 AS n FROM c WHERE fast_path
+      UNION ALL BY NAME SELECT 'pipeline.backpressure' AS family, method, level, 1 AS n FROM c WHERE why LIKE 'backpressure%' UNION ALL BY NAME SELECT 'pipeline.timeout' AS family, method, timeout_step AS step, 1 AS n FROM c WHERE timeout_step IS NOT NULL
+      UNION ALL BY NAME SELECT 'flush' AS family, method, 'AGGREGATE' AS mode, trigger, 1 AS n FROM o UNION ALL BY NAME SELECT 'persisted' AS family, method, 'AGGREGATE' AS mode, entries AS n FROM o WHERE persisted UNION ALL BY NAME SELECT 'persist.failed' AS family, method, 1 AS n FROM o WHERE NOT persisted
+      UNION ALL BY NAME SELECT 'buffer.overflow' AS family, method, 'FLUSH_EARLY' AS overflow, 1 AS n FROM o WHERE trigger = 'bytes' UNION ALL BY NAME SELECT 'degrade.triggered' AS family, method, 'persist_failed' AS type, 1 AS n FROM o WHERE NOT persisted
+      UNION ALL BY NAME SELECT 'direct_flush' AS family, method, 'ok' AS outcome, 1 AS n FROM o WHERE nr % 7 = 0 UNION ALL BY NAME SELECT 'overflow.degraded' AS family, method, 'FILE' AS strategy, 1 AS n FROM o WHERE nr % 11 = 0
+      UNION ALL BY NAME SELECT 'force_allocate.rejected' AS family, method, 1 AS n FROM o WHERE nr % 13 = 0 UNION ALL BY NAME SELECT 'circuit.recovered' AS family, method, 1 AS n FROM o WHERE nr % 17 = 0 UNION ALL BY NAME SELECT 'handler.timeout' AS family, method, 1 AS n FROM o WHERE nr % 19 = 0
+      UNION ALL BY NAME SELECT 'config.refresh' AS family, CASE WHEN event_id % 58 = 0 THEN 'nacos' ELSE 'unknown' END AS source, 1 AS n FROM logs WHERE event_id % 29 = 0)"""
+
+
+def _families(spark, sf_dir):
+    reasoned = _reasoned(spark, sf_dir)
+    records = reasoned.select(
+        "trace_id", "seq", F.substring_index("method_key", "#", -1).alias("method"), "level", F.lit("AGGREGATE").alias("mode"), F.when(F.col("seq") % 31 == 0, "backpressure_pause").otherwise(F.col("discard_reason")).alias("reason"),
+        (F.col("seq") % 4 == 0).alias("sanitized"), (F.col("seq") % 6 == 0).alias("masked"), (F.col("seq") % 5 == 1).alias("fast_path"), F.when(F.col("seq") % 97 == 0, "mask").alias("timeout_step"),
+    )
+    nr = F.col("nr")
+    flushed = records.filter("reason IS NULL").groupBy("trace_id", "method", F.floor(F.col("seq") / 50).alias("nr")).agg(F.count("*").alias("entries"))
+    flushed = flushed.withColumn("persisted", F.when(nr % 7 != 0, nr % 5 > 0)).select(
+        "method", F.lit("AGGREGATE").alias("mode"), F.element_at(F.array(F.lit("count"), F.lit("bytes"), F.lit("final")), (nr % 3 + 1).cast("int")).alias("trigger"), "persisted", "entries",
+        F.when(nr % 3 == 1, "FLUSH_EARLY").alias("overflow"), F.when(~F.col("persisted"), "persist_failed").alias("degrade_type"), F.when(nr % 7 == 0, "ok").alias("direct_outcome"), F.when(nr % 11 == 0, "FILE").alias("strategy"),
+        (nr % 13 == 0).alias("force_rejected"), (nr % 17 == 0).alias("recovered"), (nr % 19 == 0).alias("handler_timeout"),
+    )
+    refreshes = reasoned.filter("seq % 29 = 0").select(F.when(F.col("seq") % 58 == 0, "nacos").otherwise("").alias("source"))
+    return monitoring.all_counters(records, flushed, refreshes)
+
+
+@query(f"{FAMILY_ROWS} SELECT family, level, method, mode, reason, trigger, overflow, type, outcome, strategy, step, source, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY ALL")
+def met_families(spark, sf_dir):
+    return _families(spark, sf_dir)
+
+
+@query(
+    f"""{FAMILY_ROWS}, t AS (SELECT family, concat_ws(',', 'level=' || level, 'method=' || method, 'mode=' || mode, 'reason=' || reason, 'trigger=' || trigger, 'overflow=' || overflow, 'type=' || type, 'outcome=' || outcome, 'strategy=' || strategy, 'step=' || step, 'source=' || source) AS tags, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY ALL),
+    g AS (SELECT family, sum(n) AS total, string_agg('{{"tags":"' || tags || '","n":' || n || '}}', ',' ORDER BY tags) AS by_tags FROM t GROUP BY 1)
+    SELECT '{{' || string_agg('"' || family || '":{{"total":' || total || ',"by":[' || by_tags || ']}}', ',' ORDER BY family) || '}}' AS status FROM g"""
+)
+def met_status(spark, sf_dir):
+    return monitoring.status_document(_families(spark, sf_dir))
+
+
+# ---- files out and in ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LOGS} SELECT ts_ms, level, thread_name, right(logger_name, 6) AS logger_name, content, throwable, mdc_k FROM logs")
+def src_log_files(spark, sf_dir):
+    """All records as lines of a layout, in files, and read back: records of several lines are put together and parsed."""
+    pattern = "[%d{yyyy-MM-dd HH:mm:ss.SSS}] %-5level [%10t] %.6loggerFull {%X{k}} - %msg%ex%n"
+    path = f"{shared_dir(spark)}/log-files-{uuid.uuid4().hex}"
+    line = F.regexp_replace(layout.compile_layout(pattern), r"\n$", "")
+    _logs(spark, sf_dir).select(line.alias("value")).write.text(path)
+    back = logfiles.read_log_files(spark, path, pattern)
+    return back.filter("parsed").select("ts_ms", "level", "thread_name", "logger_name", "content", "throwable", F.col("mdc")["k"].alias("mdc_k"))
+
+
+@query(ORACLES["snk_degrade_files"])
+def snk_written_files(spark, sf_dir):
+    """Degrade files as they lie in the folder after they have been written."""
+    path = f"{shared_dir(spark)}/degraded-{uuid.uuid4().hex}"
+    degraded.write_degraded(_logs(spark, sf_dir).filter(high_priority(F.col("level"))), path)
+    files = spark.read.format("binaryFile").load(path)
+    text = F.col("content").cast("string")
+    return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("lines"))
+
+
+@query(
+    f"""WITH {LOGS}, b AS (SELECT *, (row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1) // 20 AS batch_id, content AS line, 2 * length(content) AS bytes FROM logs), g AS ({GROUPED})
+    SELECT trace_id, content, entry_count, max_level, batch_id = max(batch_id) OVER (PARTITION BY trace_id) AS is_final, last_ms AS time_ms, sha256(trace_id || '|' || batch_id) AS flush_id FROM g"""
+)
+def snk_ledger(spark, sf_dir):
+    """Batches to a table that takes each once: two micro-batches, each handed over twice, and all of them under another run."""
+    df = _logs(spark, sf_dir).withColumns({"batch_id": batching.batches_by_count(20), "line": F.col("content"), "bytes": sizing.line_bytes(F.col("content"))})
+    batches = batching.finalise(df)
+    book = ledger.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    main, again = ledger.LedgerHandler(book, "main"), ledger.LedgerHandler(book, "again")
+    for part in (0, 0, 1, 1):
+        main(batches.filter(F.col("batch_id") % 2 == part), part)
+    again(batches, 0)
+    return book.read().withColumn("time_ms", F.unix_millis("time")).drop("time")
+
+
 # ---- end to end ------------------------------------------------------------------------------------------------------
 
 
