@@ -96,6 +96,14 @@ def method_config_key(display: Column) -> Column:
     return F.translate(display, ".#", "__")
 
 
+def method_normalised(key: Column) -> Column:
+    """A key as it may be configured, trimmed, in the display form: one without # is a configured one, whose last _ stands for
+    the # and the others for dots."""
+    trimmed, form = F.trim(key), r"^(.*\S.*)_([^_]*[^_\s][^_]*)$"
+    shown = F.concat(F.translate(F.regexp_extract(trimmed, form, 1), "_", "."), F.lit("#"), F.regexp_extract(trimmed, form, 2))
+    return F.when(trimmed.contains("#") | ~trimmed.rlike(form), trimmed).otherwise(shown)
+
+
 def method_tag(display: Column) -> Column:
     """Without the package: what follows the last dot before #."""
     return F.regexp_replace(display, r"^[^#]*\.(?=[^.#]*#)", "")

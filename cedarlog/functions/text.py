@@ -77,12 +77,26 @@ def guard_length(c: Column, most: int, marker: str = "\n... [truncated]") -> Col
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(marker))).otherwise(c)
 
 
+#: Private characters that mark a user part while it is masked, and what stands for them where a text has them itself.
+MARKS = {"\uE002": "\uE002\uE005", "\uE000": "\uE002\uE003", "\uE001": "\uE002\uE004"}
+
+
 def _mask_email(c: Column) -> Column:
     """One pass from left to right puts marks (private characters) around each user part; the marks then become stars."""
     marked = F.regexp_replace(c, EMAIL, "\uE000$1\uE001@$2")
     return F.regexp_replace(F.regexp_replace(marked, "\uE000\uE001", "**"), "\uE000(..)\uE001", "$1****")
 
 
+def _mask_email_beside_marks(c: Column) -> Column:
+    """The same for a text that holds the marks' characters: they are written differently meanwhile."""
+    for mark, other in MARKS.items():
+        c = F.replace(c, F.lit(mark), F.lit(other))
+    c = _mask_email(c)
+    for mark, other in reversed(MARKS.items()):
+        c = F.replace(c, F.lit(other), F.lit(mark))
+    return c
+
+
 def unsafe_regex(pattern: str | None, budget_s: float = 0.1) -> str | None:
     """Why a custom rule's pattern is refused, or None: too long, nested quantifiers, bad syntax, or slow on a probe."""
     if pattern is None:
@@ -128,7 +142,8 @@ class Masker:
         out = F.regexp_replace(c, PHONE, "$1****$2")
         out = F.regexp_replace(out, NATIONAL_ID, "$1********$2")
         out = F.regexp_replace(out, BANK_CARD, "$1****$2")
-        out = F.when(needs_masking(c), _mask_email(out)).otherwise(c)  # no built-in rule matches anything else
+        # no built-in rule matches anything else
+        out = F.when(~needs_masking(c), c).when(c.rlike("[\uE000-\uE002]"), _mask_email_beside_marks(out)).otherwise(_mask_email(out))
         for rule in self.rules:
             out = rule(out) if callable(rule) else F.regexp_replace(out, *rule)
         return F.when(utf16_units(c) >= LEAST_MASKED, out).otherwise(c)
@@ -169,7 +184,33 @@ def secure(c: Column, throwable: bool = False, masker: Callable[[Column], Column
         return F.struct(x["value"].alias("value"), (filled & ~x["clean"].eqNullSafe(x["raw"])).alias("sanitized"), (filled & ~x["value"].eqNullSafe(x["clean"])).alias("masked"), (filled & ~x["s"] & ~x["m"]).alias("fast_path"))
 
     # each stage is a function of the one before, so that it is worked out once, however often it is referred to
-    return F.transform(F.transform(F.transform(F.array(c), cleaned), valued), judged)[0]
+    staged = F.transform(F.transform(F.transform(F.array(c), cleaned), valued), judged)[0]
+    if sanitizer is not None or not (masker is None or isinstance(masker, Masker)):
+        return staged
+    # most texts need neither stage: they do not get into the functions, which run outside of generated code
+    quiet = ~needs_sanitizing(c, throwable) & (~needs_masking(c) if masker else F.lit(True))
+    filled = F.coalesce(F.length(c) > 0, F.lit(False))
+    return F.when(quiet, F.struct(c.alias("value"), F.lit(False).alias("sanitized"), F.lit(False).alias("masked"), filled.alias("fast_path"))).otherwise(staged)
+
+
+def secure_columns(df, columns: dict[str, bool], masker: Callable[[Column], Column] | None = mask):
+    """``df`` with <column>_value, _sanitized, _masked and _fast_path for each of ``columns`` (name: whether it is a throwable), as
+    ``secure`` has them. Stages are projections one after the other, each worked out once and inside generated code."""
+    flag = {c: needs_masking(F.col(c)) if isinstance(masker, Masker) else F.lit(masker is not None) for c in columns}
+    df = df.withColumns({f"__{c}_s": needs_sanitizing(F.col(c), t) for c, t in columns.items()} | {f"__{c}_m": flag[c] for c in columns})
+    df = df.withColumns({f"__{c}_clean": F.when(F.col(f"__{c}_s"), (sanitize_throwable if t else sanitize)(F.col(c))).otherwise(F.col(c)) for c, t in columns.items()})
+    if masker:
+        df = df.withColumns({f"{c}_value": F.when(F.col(f"__{c}_m"), masker(F.col(f"__{c}_clean"))).otherwise(F.col(f"__{c}_clean")) for c in columns})
+    else:
+        df = df.withColumns({f"{c}_value": F.col(f"__{c}_clean") for c in columns})
+    out = {}
+    for c in columns:
+        filled = F.coalesce(F.length(c) > 0, F.lit(False))
+        out |= {
+            f"{c}_sanitized": filled & ~F.col(f"__{c}_clean").eqNullSafe(F.col(c)), f"{c}_masked": filled & ~F.col(f"{c}_value").eqNullSafe(F.col(f"__{c}_clean")),
+            f"{c}_fast_path": filled & ~F.col(f"__{c}_s") & ~F.col(f"__{c}_m"),
+        }
+    return df.withColumns(out).drop(*(f"__{c}_{x}" for c in columns for x in ("s", "m", "clean")))
 
 
 def secure_mdc(mdc: Column) -> Column:
@@ -183,18 +224,22 @@ def secure_mdc(mdc: Column) -> Column:
 
     entries = F.filter(F.transform(F.map_entries(mdc), entry), lambda e: F.length(e["key"]) > 0)
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    made = F.map_from_entries(last)
+    if mask.rules:
+        return made
+    # maps in which nothing would change, found by a look at all keys and all values, are left as they are
+    keys, values = F.array_join(F.map_keys(mdc), ""), F.array_join(F.map_values(mdc), " ")
+    quiet = ~keys.rlike("[^a-zA-Z0-9._-]") & (F.length(keys) <= 128) & ~F.array_contains(F.map_keys(mdc), "") & ~values.rlike(r"[<\x00-\x1F\x7F@]|[0-9]{11}")
+    return F.when(quiet, mdc).otherwise(made)
 
 
 def secure_record(df, masker: Callable[[Column], Column] | None = mask):
     """Content strictly, throwable leniently, MDC by entries; trusted fields pass. Adds flags for the metrics."""
-    df = df.withColumns({"__c": secure(F.col("content"), masker=masker), "__t": secure(F.col("throwable"), throwable=True, masker=masker)})
-    return df.withColumns(
-        {
-            "content": F.col("__c.value"), "throwable": F.col("__t.value"), "mdc": secure_mdc(F.col("mdc")), "sanitized": F.col("__c.sanitized") | F.col("__t.sanitized"),
-            "masked": F.col("__c.masked") | F.col("__t.masked"), "fast_path": F.col("__c.fast_path") & (F.col("throwable").isNull() | F.col("__t.fast_path")),
-        }
-    ).drop("__c", "__t")
+    df = secure_columns(df, {"content": False, "throwable": True}, masker)
+    out = {k: F.col(f"content_{k}") | F.col(f"throwable_{k}") for k in ("sanitized", "masked")}
+    out["fast_path"] = F.col("content_fast_path") & (F.col("throwable").isNull() | F.col("throwable_fast_path"))
+    out |= {"content": F.col("content_value"), "throwable": F.col("throwable_value"), "mdc": secure_mdc(F.col("mdc"))}
+    return df.withColumns(out).drop(*(f"{c}_{k}" for c in ("content", "throwable") for k in ("value", "sanitized", "masked", "fast_path")))
 
 
 #: Components by name, for a configuration that switches stages off.

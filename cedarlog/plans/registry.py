@@ -196,12 +196,12 @@ def msk_documents(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.mask(F.col("text")).alias("masked"))
 
 
-PII = "('tel 13812345678,15999998888 id 11010519900101123X card 6222021234567890123 mail zhangsan@example.com ' || CAST(event_id AS VARCHAR) || ' a@b.com@c.org')"
+PII = "('tel 13300009999,17700001111 id 33010219850615002X card 6228480402564890018 mail ann.lee@mail.test ' || CAST(event_id AS VARCHAR) || ' x@y.net@z.test')"
 
 
 @query(f"SELECT event_id, {_mask_sql(PII)} AS masked, regexp_replace({_mask_sql(PII)}, '(id) [0-9]+', '\\1 #', 'g') AS custom FROM events")
 def msk_rules(spark, sf_dir):
-    raw = F.concat(F.lit("tel 13812345678,15999998888 id 11010519900101123X card 6222021234567890123 mail zhangsan@example.com "), F.col("event_id").cast("string"), F.lit(" a@b.com@c.org"))
+    raw = F.concat(F.lit("tel 13300009999,17700001111 id 33010219850615002X card 6228480402564890018 mail ann.lee@mail.test "), F.col("event_id").cast("string"), F.lit(" x@y.net@z.test"))
     custom = text.Masker([("(id) [0-9]+", "$1 #")])
     return _table(spark, sf_dir, "events").select("event_id", text.mask(raw).alias("masked"), custom(raw).alias("custom"))
 
@@ -212,14 +212,21 @@ def msk_rules(spark, sf_dir):
     SELECT doc_id, CASE WHEN m AND length(text) >= 8 THEN {_mask_sql("clean")} ELSE clean END AS value, text <> '' AND clean <> text AS sanitized, text <> '' AND m AND length(text) >= 8 AND {_mask_sql("clean")} <> clean AS masked, text <> '' AND NOT s AND NOT m AS fast_path, CAST(CAST(s AS INT) + 2 * CAST(m AS INT) AS INT) AS flags FROM e"""
 )
 def sec_documents(spark, sf_dir):
-    done = text.secure(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", "text", done.alias("x")).select("doc_id", "x.value", "x.sanitized", "x.masked", "x.fast_path", text.scan_flags(F.col("text")).alias("flags"))
+    done = text.secure_columns(_table(spark, sf_dir, "documents").select("doc_id", "text"), {"text": False})
+    return done.select("doc_id", *(F.col(f"text_{k}").alias(k) for k in ("value", "sanitized", "masked", "fast_path")), text.scan_flags(F.col("text")).alias("flags"))
 
 
-@query(f"WITH {LOGS} SELECT trace_id, seq, content, 'java.lang.IllegalStateException: error' || chr(10) || chr(9) || 'at app.Service.run(Service.java:1)' AS throwable, mdc_k, false AS sanitized, false AS masked FROM logs WHERE event_type = 'error'")
+@query(
+    f"""WITH {LOGS}, r AS (SELECT *, CASE event_id % 4 WHEN 0 THEN content || ' call 13300009999 now' WHEN 1 THEN '<i>' || content || '</i>' || chr(10) || 'next' WHEN 2 THEN 'mail ann.lee@mail.test ' || content || '<br>' ELSE content END AS raw FROM logs),
+    f AS (SELECT *, regexp_matches(raw, '[<\\x00-\\x1F]') AS s, regexp_matches(raw, '[0-9]{{11}}|@') AS m FROM r), c AS (SELECT *, CASE WHEN s THEN {_san_sql("raw")} ELSE raw END AS clean FROM f),
+    v AS (SELECT *, CASE WHEN m THEN {_mask_sql("clean")} ELSE clean END AS done FROM c)
+    SELECT trace_id, seq, done AS content, throwable, mdc_k, clean <> raw AS sanitized, done <> clean AS masked, NOT s AND NOT m AND throwable IS NULL AS fast_path FROM v"""
+)
 def sec_records(spark, sf_dir):
-    done = text.secure_record(_logs(spark, sf_dir).filter("level = 'ERROR'"))
-    return done.select("trace_id", "seq", "content", "throwable", F.col("mdc")["k"].alias("mdc_k"), "sanitized", "masked")
+    nth, content = F.col("seq") % 4, F.col("content")
+    raw = F.when(nth == 0, F.concat(content, F.lit(" call 13300009999 now"))).when(nth == 1, F.concat(F.lit("<i>"), content, F.lit("</i>\nnext"))).when(nth == 2, F.concat(F.lit("mail ann.lee@mail.test "), content, F.lit("<br>"))).otherwise(content)
+    done = text.secure_record(_logs(spark, sf_dir).withColumn("content", raw))
+    return done.select("trace_id", "seq", "content", "throwable", F.col("mdc")["k"].alias("mdc_k"), "sanitized", "masked", "fast_path")
 
 
 # ---- sizes, scalar rules, layout -------------------------------------------------------------------------------------
