@@ -17,9 +17,9 @@ def counters(df: DataFrame, tags: Sequence[str], sums: Mapping[str, str] | None
     return df.groupBy(*tags).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in (sums or {}).items()))
 
 
-def gauges(samples: DataFrame, tags: Sequence[str], value: str = "value", at: str = "ts_ms") -> DataFrame:
-    """The latest value by tags."""
-    return samples.groupBy(*tags).agg(F.max_by(value, at).alias("value"), F.max(at).alias("at"))
+def gauges(samples: DataFrame, tags: Sequence[str], value: str = "value", at: str = "ts_ms", then: Sequence[str] = ()) -> DataFrame:
+    """The latest value by tags; of values at one time the last by ``then`` (a sequence number, say), of equal ones the greatest."""
+    return samples.groupBy(*tags).agg(F.max_by(value, F.struct(at, *then, value)).alias("value"), F.max(at).alias("at"))
 
 
 def timers(samples: DataFrame, tags: Sequence[str], value: str, exact: bool = True) -> DataFrame:

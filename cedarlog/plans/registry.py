@@ -96,13 +96,13 @@ REASON = """CASE WHEN user_id % 10 = 9 THEN 'disabled' WHEN event_id % 50 = 0 TH
   WHEN logger_name LIKE 'app.sign%' THEN 'logger_filter' WHEN NOT (rank >= 3 OR length(content) < 20) THEN 'handler_filter' WHEN event_id > 9000 THEN 'buffer_closed_late_arrival' END"""
 
 
-def _reasoned(spark, sf_dir):
+def _reasoned(spark, sf_dir, mode="pipeline"):
     trace = F.col("trace_id").cast("long")
     return _logs(spark, sf_dir).withColumn(
         "discard_reason",
         filters.discard_reason(
             least="debug ", exclude=["", "app.sign"], ignored=F.col("seq") % 17 == 0, collect=lambda level, summary: (level_rank(level) >= 3) | (F.length(summary) < 20),
-            late=F.col("seq") > 9000, enabled=trace % 10 != 9, depth=F.when(F.col("seq") % 50 == 0, 10).otherwise(1), most_depth=10,
+            late=F.col("seq") > 9000, enabled=trace % 10 != 9, depth=F.when(F.col("seq") % 50 == 0, 10).otherwise(1), most_depth=10, mode=mode,
         ),
     )
 
@@ -301,9 +301,9 @@ def agg_count_batches(spark, sf_dir):
     return _batches(batching.finalise(df))
 
 
-def _fold_sql(size: str, condition_before: str, condition_after: str) -> str:
+def _fold_sql(size: str, condition_before: str, condition_after: str, more: str = "", rows: str = "(SELECT *, content AS line FROM logs)") -> str:
     """A recursive fold over each trace: state (batch, n, bytes) before a record decides where it goes."""
-    return f"""WITH RECURSIVE {LOGS}, s AS (SELECT *, content AS line, CAST({size} AS BIGINT) AS bytes, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS i FROM logs),
+    return f"""WITH RECURSIVE {LOGS}{more}, s AS (SELECT *, CAST({size} AS BIGINT) AS bytes, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS i FROM {rows}),
     f AS (SELECT trace_id, i, 0 AS batch_id, 1 AS n, bytes AS total, bytes FROM s WHERE i = 1
       UNION ALL SELECT s.trace_id, s.i, CASE WHEN brk THEN p.batch_id + 1 ELSE p.batch_id END, CASE WHEN brk THEN 1 ELSE p.n + 1 END, CASE WHEN brk THEN s.bytes ELSE p.total + s.bytes END, s.bytes
       FROM f p JOIN s ON s.trace_id = p.trace_id AND s.i = p.i + 1, LATERAL (SELECT ({condition_after}) OR ({condition_before}) AS brk)),
@@ -320,6 +320,25 @@ def agg_legacy_batches(spark, sf_dir):
     return _batches(batching.aggregate(_logs(spark, sf_dir).withColumn("line", F.col("content")), 12, 2000, mode="legacy"))
 
 
+LEGACY_FLOW = f""", k AS (SELECT *, rpad(level, 5, ' ') || ' ' || logger_name || ' - ' || content || coalesce(chr(10) || throwable, '') AS line FROM (SELECT *, {REASON} AS reason FROM logs) WHERE reason IS NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS nr FROM k),
+    a AS (SELECT trace_id, 1 AS nr, 1 AS seen, 0 AS kept, false AS taken FROM o WHERE nr = 1
+      UNION ALL SELECT trace_id, nr + 1, CASE WHEN NOT past THEN seen + 1 WHEN (seen + 1) % 2 = 0 THEN seen + 2 ELSE seen + 1 END, kept + got::INT, got
+      FROM (SELECT o.trace_id, a.nr, a.seen, a.kept, a.kept >= 8 AS past, CASE WHEN a.kept < 8 THEN (a.seen + 1) % 2 = 0 ELSE false END AS got FROM a JOIN o ON o.trace_id = a.trace_id AND o.nr = a.nr + 1)),
+    t AS (SELECT o.* FROM o JOIN a USING (trace_id, nr) WHERE taken)"""
+
+
+@query(_fold_sql(f"64 + {_s_sql('line')}", "p.n + 1 > 3 OR p.total + s.bytes > 700", "p.n >= 3 OR p.total >= 700", LEGACY_FLOW, "t"))
+def legacy_flow(spark, sf_dir):
+    """The legacy path from filters to overflow: reasons with the cleaned summary, security, then the total limit with the policy
+    SAMPLE and every second record, whose sampler counts once more for a record over the limit, then batches."""
+    kept = text.secure_record(_reasoned(spark, sf_dir, "legacy").filter("discard_reason IS NULL"))
+    lines = kept.select("trace_id", "seq", "level", "ts_ms", layout.compile_layout("%-5p %C - %m%ex").alias("line"))
+    lines = lines.withColumns({"bytes": sizing.segment_bytes(F.col("line")), "high": high_priority(F.col("level"))})
+    taken = batching.ordered_fold(lines, ["trace_id"], ["seq"], ["bytes", "high"], "reason string", batching.total_limits(8, 0, "SAMPLE", "legacy", every=2)).filter("reason IS NULL")
+    return _batches(batching.aggregate(taken.select("trace_id", "seq", "level", "ts_ms", "line"), 3, 700, mode="legacy"))
+
+
 @query(
     f"""WITH {LOGS}, s AS (SELECT *, content AS line, CAST(64 + {_s_sql("content")} AS BIGINT) AS bytes FROM logs), w AS (SELECT *, count(*) OVER t AS n, sum(bytes) OVER t AS total FROM s WINDOW t AS (PARTITION BY trace_id ORDER BY seq DESC)),
     b AS (SELECT *, 0 AS batch_id FROM w WHERE n <= 10 AND total <= 1500) {GROUPED}"""

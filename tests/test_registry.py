@@ -7,7 +7,7 @@ import pytest
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["log_pipeline", "flt_discard_reasons", "agg_pipeline_batches", "agg_legacy_batches", "msk_rules", "fmt_layout", "met_outlier_mean", "cfg_resolution",
+NAMES = ["log_pipeline", "legacy_flow", "flt_discard_reasons", "agg_pipeline_batches", "agg_legacy_batches", "msk_rules", "fmt_layout", "met_outlier_mean", "cfg_resolution",
          "agg_oversized", "agg_direct_writes", "agg_drop_oldest", "agg_plain_buffer", "met_gates", "met_snapshot", "smp_adaptive", "sec_mdc", "sec_documents", "sec_records", "msk_documents",
          "met_alert_rules", "met_families", "met_status", "met_sketch_timers", "src_log_files", "snk_written_files", "snk_ledger", "cfg_as_of", "agg_legacy_single", "agg_single_batches", "agg_total_limit", "flt_retain_high"]
 
