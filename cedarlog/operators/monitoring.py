@@ -113,36 +113,39 @@ TAGS = ("level", "method", "mode", "reason", "trigger", "overflow", "type", "out
 SMALL_UNKNOWN = ("trigger", "type", "outcome", "strategy", "step", "source", "method", "reason")
 
 
+#: Columns of outcomes that counters look at.
+OUTCOMES = (
+    "method", "level", "mode", "reason", "sanitized", "masked", "fast_path", "timeout_step", "trigger", "persisted", "overflow", "degrade_type", "direct_outcome", "strategy", "force_rejected", "recovered", "handler_timeout", "source",
+)
+
+
 def measurements(outcomes: DataFrame) -> DataFrame:
     """One long stream (family, a column for each of TAGS, n) of ``outcomes`` of one kind, whatever columns they have.
 
     Records: method, level, mode, reason (null: collected), sanitized, masked, fast_path, timeout_step. Batches: method, mode,
     trigger, persisted (true, false or null: not tried), entries, overflow, degrade_type, direct_outcome, strategy,
-    force_rejected, recovered, handler_timeout. Refreshes: source. Every row is read once and gives what it counts for."""
+    force_rejected, recovered, handler_timeout. Refreshes: source. Every row is read once; equal ones are counted first,
+    and each count then gives the families that it counts for."""
     has = set(outcomes.columns)
+    entries = F.coalesce(F.col("entries"), F.lit(1)).cast("long") if "entries" in has else F.lit(1).cast("long")
+    counted = outcomes.groupBy(*(c for c in OUTCOMES if c in has)).agg(F.count("*").alias("rows"), F.sum(entries).alias("entries"))
     col = lambda c, kind="string": F.col(c) if c in has else F.lit(None).cast(kind)
-    true = lambda c: F.coalesce(col(c, "boolean"), F.lit(False))
-    record = F.lit("level" in has and "reason" in has)
-    backs = F.coalesce(col("reason").startswith("backpressure") | (col("reason") == "pipeline_backpressure"), F.lit(False))
-    entries = F.coalesce(col("entries", "long"), F.lit(1)).cast("long")
-    value = {c: col(c) for c in ("level", "method", "mode", "reason", "trigger", "overflow", "strategy", "source")} | {"type": col("degrade_type"), "outcome": col("direct_outcome"), "step": col("timeout_step")}
-    tried = col("persisted", "boolean")
-    counts = {
-        "collected": (record & col("reason").isNull(), 1), "discarded": (record & col("reason").isNotNull(), 1), "persisted": (tried, entries), "persist.failed": (~tried, 1), "flush": (F.lit("trigger" in has), 1),
-        "buffer.overflow": (col("overflow").isNotNull(), 1), "degrade.triggered": (col("degrade_type").isNotNull(), 1), "direct_flush": (col("direct_outcome").isNotNull(), 1), "overflow.degraded": (col("strategy").isNotNull(), 1),
-        "force_allocate.rejected": (true("force_rejected"), 1), "circuit.recovered": (true("recovered"), 1), "sanitize.hits": (true("sanitized"), 1), "mask.hits": (true("masked"), 1), "fastpath.hits": (true("fast_path"), 1),
-        "pipeline.backpressure": (record & backs, 1), "pipeline.timeout": (col("timeout_step").isNotNull(), 1), "handler.timeout": (true("handler_timeout"), 1), "config.refresh": (col("source").isNotNull(), 1),
+    true = lambda c: col(c, "boolean")
+    record, tried = F.lit("level" in has and "reason" in has), col("persisted", "boolean")
+    holds = {
+        "collected": record & col("reason").isNull(), "discarded": record & col("reason").isNotNull(), "persisted": tried, "persist.failed": ~tried, "flush": F.lit("trigger" in has), "buffer.overflow": col("overflow").isNotNull(),
+        "degrade.triggered": col("degrade_type").isNotNull(), "direct_flush": col("direct_outcome").isNotNull(), "overflow.degraded": col("strategy").isNotNull(), "force_allocate.rejected": true("force_rejected"),
+        "circuit.recovered": true("recovered"), "sanitize.hits": true("sanitized"), "mask.hits": true("masked"), "fastpath.hits": true("fast_path"),
+        "pipeline.backpressure": record & (col("reason").startswith("backpressure") | (col("reason") == "pipeline_backpressure")), "pipeline.timeout": col("timeout_step").isNotNull(), "handler.timeout": true("handler_timeout"),
+        "config.refresh": col("source").isNotNull(),
     }
-
-    def one(family: str) -> Column:
-        when, n = counts[family]
-        unknown = lambda t: F.lit("unknown" if t in SMALL_UNKNOWN else "UNKNOWN")
-        tags = [(F.coalesce(F.nullif(value[t], F.lit("")), unknown(t)) if t in FAMILIES[family] else F.lit(None).cast("string")).alias(t) for t in TAGS]
-        made = F.struct(F.lit(family).alias("family"), *tags, (n if isinstance(n, Column) else F.lit(n)).cast("long").alias("n"))
-        return F.when(F.coalesce(when, F.lit(False)), made)
-
-    each = outcomes.select(F.explode(F.array_compact(F.array(*(one(f) for f in FAMILIES)))).alias("m"))
-    return each.select("m.*")
+    each = counted.withColumn("family", F.explode(F.array_compact(F.array(*(F.when(holds[f], f) for f in FAMILIES)))))
+    value = {c: col(c) for c in ("level", "method", "mode", "reason", "trigger", "overflow", "strategy", "source")} | {"type": col("degrade_type"), "outcome": col("direct_outcome"), "step": col("timeout_step")}
+    tags = []
+    for t in TAGS:
+        own = F.coalesce(F.nullif(value[t], F.lit("")), F.lit("unknown" if t in SMALL_UNKNOWN else "UNKNOWN"))
+        tags.append(F.when(F.col("family").isin(*(f for f, names in FAMILIES.items() if t in names)), own).alias(t))
+    return each.select("family", *tags, F.when(F.col("family") == "persisted", F.col("entries")).otherwise(F.col("rows")).alias("n"))
 
 
 def all_counters(*outcomes: DataFrame) -> DataFrame:
