@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, connected_components, discard, ids_back, materialize, mix64
+from .common import LOWER_BYTES, connected_components, discard, give_back, ids_back, materialize, mix64
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 #: Most sets in a block of a region that is compared in full.
@@ -78,6 +78,8 @@ def _sign(size: int):
                     column.append(value)
                 sig.append(signature(found) if len(found) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "n": n, "k1": k1, "k2": k2, "sig": sig})
+        del hashes
+        give_back()
 
     return run
 
@@ -147,6 +149,8 @@ def _sets(size: int):
                     reps.append(rep)
                     out.append(found.tobytes())
             yield pd.DataFrame({"rep": pd.Series(reps, dtype="int64"), "found": out})
+        del hashes
+        give_back()
 
     return run
 
@@ -166,7 +170,9 @@ def _confirm(percent: int):
     def run(batches):
         for batch in batches:
             keep = [_similar(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), percent) for a, b in zip(batch["a"], batch["b"], strict=True)]
-            yield batch.loc[np.array(keep, dtype=bool), ["u", "v"]]
+            yield batch.loc[np.array(keep, dtype=bool), ["u", "v"]].copy()
+            del batch
+        give_back()
 
     return run
 
@@ -207,11 +213,14 @@ def _by_block(handle, fields: str):
                 v = data[k].to_numpy()
                 new |= v[1:] != v[:-1]
             bounds = [0, *(np.flatnonzero(new) + 1)]
-            held = data.iloc[bounds[-1] :]
+            held = data.iloc[bounds[-1] :].copy()  # a view would keep the whole batch
             if len(bounds) > 1:
                 yield rows(data, bounds)
+            del data, batch
         if held is not None and len(held):
             yield rows(held, [0, len(held)])
+        del held
+        give_back()
 
     return run
 
