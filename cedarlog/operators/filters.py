@@ -92,6 +92,12 @@ def retain_high(entries: Column) -> Column:
     return F.filter(entries, lambda e: level_rank(e["level"]) >= 3)
 
 
+def rejected_reason(level: Column, rejected: Column) -> Column:
+    """The reason of records that go because their batch was rejected, or null: those below WARN. A record is judged
+    in its row, so no batch is put together."""
+    return F.when(rejected & (level_rank(level) < 3), "async_queue_full_low_level")
+
+
 def normalise_rate(rate: float) -> float:
     return 0.0 if rate != rate or rate <= 0 else min(rate, 1.0)
 

@@ -131,8 +131,8 @@ def flt_queue_shedding(spark, sf_dir):
 
 @query(f"WITH {LOGS} SELECT trace_id, count(*) AS n, sum(CASE WHEN rank >= 3 THEN 1 ELSE 0 END)::BIGINT AS kept FROM logs GROUP BY trace_id")
 def flt_retain_high(spark, sf_dir):
-    batches = _logs(spark, sf_dir).withColumn("batch_id", batching.batches_by_count(100)).groupBy("trace_id", "batch_id").agg(F.collect_list(F.struct("level")).alias("entries"))
-    return batches.groupBy("trace_id").agg(F.sum(F.size("entries")).alias("n"), F.sum(F.size(filters.retain_high(F.col("entries")))).alias("kept"))
+    judged = _logs(spark, sf_dir).withColumn("reason", filters.rejected_reason(F.col("level"), F.lit(True)))
+    return judged.groupBy("trace_id").agg(F.count("*").alias("n"), F.count_if(F.col("reason").isNull()).alias("kept"))
 
 
 @query(f"WITH {LOGS}, n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM logs) SELECT trace_id, seq FROM n WHERE n % 3 = 0")
@@ -849,13 +849,16 @@ def snk_written_files(spark, sf_dir):
     SELECT trace_id, content, entry_count, max_level, batch_id = max(batch_id) OVER (PARTITION BY trace_id) AS is_final, last_ms AS time_ms, sha256(trace_id || '|' || batch_id) AS flush_id FROM g"""
 )
 def snk_ledger(spark, sf_dir):
-    """Batches to a table that takes each once: two micro-batches, each handed over twice, and all of them under another run."""
+    """Batches to a table that takes each once: two micro-batches, each handed over twice, and all of them under another run
+    after the table has been compacted."""
     df = _logs(spark, sf_dir).withColumns({"batch_id": batching.batches_by_count(20), "line": F.col("content"), "bytes": sizing.line_bytes(F.col("content"))})
     batches = batching.finalise(df)
     book = ledger.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
     main, again = ledger.LedgerHandler(book, "main"), ledger.LedgerHandler(book, "again")
     for part in (0, 0, 1, 1):
         main(batches.filter(F.col("batch_id") % 2 == part), part)
+    book.compact()
+    book.clean()
     again(batches, 0)
     return book.read().withColumn("time_ms", F.unix_millis("time")).drop("time")
 

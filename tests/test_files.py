@@ -73,6 +73,52 @@ def test_a_stopped_stream_gives_each_batch_once(spark, tmp_path, when):
         book.commit("again", 0, "other")
 
 
+def test_a_compacted_ledger_reads_the_same(spark, tmp_path, monkeypatch):
+    """Rows before and after, commits beside the base and below it, a stopped and a repeated compaction, full folders."""
+    book = ledger.Ledger(spark, str(tmp_path / "table"))
+
+    def put(run, batch, rows):
+        book.commit(run, batch, book.write(spark.createDataFrame(rows, "flush_id string, n long").coalesce(1)))
+
+    def held():
+        return sorted((r["flush_id"], r["n"]) for r in book.read().collect())
+
+    assert book.read() is None and book.compact() == 0
+    want = []
+    for n in (0, 1, 2, 5):  # 3 and 4 are not there yet
+        put("a", n, rows := [(f"a{n}", i) for i in range(3)])
+        want += rows
+    put("b", 7, [("b7", 0), ("b7", 0)])  # rows that are equal stay as many as they are
+    want += [("b7", 0)] * 2
+    with monkeypatch.context() as m:
+        m.setattr(book, "_publish", lambda *_: (_ for _ in ()).throw(Stopped))
+        with pytest.raises(Stopped):
+            book.compact()
+    assert held() == sorted(want) and len(book.entries()) == 5
+    assert book.compact() == 5 and book.entries() == {} and held() == sorted(want)
+    assert book.base()["ranges"] == {"a": [[0, 2], [5, 5]], "b": [[7, 7]]} and len(book.base()["folders"]) == 1
+    for _ in range(2):  # with and without the old entries' files
+        assert all(book.committed("a", n) for n in (0, 1, 2, 5)) and not book.committed("a", 3) and not book.committed("c", 0)
+        with pytest.raises(FileExistsError):
+            book.commit("a", 1, "other")
+        assert book.clean() in (6, 0) and held() == sorted(want)
+    assert len(os.listdir(tmp_path / "table" / "data")) == 1
+    assert not [n for n in os.listdir(tmp_path / "table" / "ledger") if n.endswith(".json")]
+    put("a", 3, [("late", 1)])  # a number between those of the base counts
+    assert held() == sorted([*want, ("late", 1)])
+    (full,) = book.base()["folders"]
+    assert book.compact(full_bytes=full[1]) == 0 and full in book.base()["folders"]  # the full one is not written again
+    assert held() == sorted([*want, ("late", 1)]) and book.base()["ranges"]["a"] == [[0, 3], [5, 5]]
+    put("a", 4, [])
+    assert book.compact() == 3 and book.base()["ranges"]["a"] == [[0, 5]] and book.compact() == 0
+    book.clean()
+    assert held() == sorted([*want, ("late", 1)])
+    handler = ledger.LedgerHandler(book, "a", keep=lambda df: df)
+    assert not handler.flush_batch(spark.createDataFrame([("x", 1)], "flush_id string, n long"), 4)
+    assert handler.flush_batch(spark.createDataFrame([("late", 9), ("x", 1)], "flush_id string, n long"), 6)
+    assert held() == sorted([*want, ("late", 1), ("x", 1)])
+
+
 def test_degrade_files_equal_the_rows(spark, tmp_path):
     uuid = "123e4567-e89b-12d3-a456-426614174000"
     rows = [(t, at, i, f"{t} line {i} é") for t in (uuid, "plain/../id", None) for at in (5, 6) for i in range(30)] + [(uuid, 7, 1, None), (uuid, 8, 1, "x" * 500), (uuid, 8, 2, "y")]
