@@ -71,5 +71,6 @@ def stream_batches(lines: DataFrame, most: int = 100, most_bytes: int = 1 << 20,
 
 
 def stream_counters(events: DataFrame, at: str, tags: list[str], window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Counters by event-time windows; rows later than the watermark are left out."""
+    """Counters by event-time windows. A row counts as long as its window is open, that is until the micro-batch after the
+    one that moved the watermark beyond it; later rows, and rows without a time, are left out."""
     return events.withWatermark(at, late).groupBy(F.window(at, window), *tags).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *tags, "n")
