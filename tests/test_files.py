@@ -119,6 +119,32 @@ def test_a_compacted_ledger_reads_the_same(spark, tmp_path, monkeypatch):
     assert held() == sorted([*want, ("late", 1), ("x", 1)])
 
 
+def test_what_happens_during_a_compaction(spark, tmp_path, monkeypatch):
+    """A stream commits while rows are merged, one number below others; another compaction is faster."""
+    book = ledger.Ledger(spark, str(tmp_path / "table"))
+    write = book.write
+
+    def put(batch):
+        book.commit("a", batch, write(spark.createDataFrame([(f"a{batch}", 1)], "flush_id string, n long").coalesce(1)))
+
+    def held():
+        return sorted(r["flush_id"] for r in book.read().collect())
+
+    put(0), put(2)
+    with monkeypatch.context() as m:
+        m.setattr(book, "write", lambda rows: (put(1), write(rows))[1])
+        assert book.compact() == 2
+    assert held() == ["a0", "a1", "a2"] and set(book.entries()) == {"a-1"} and book.base()["ranges"] == {"a": [[0, 0], [2, 2]]}
+    other = ledger.Ledger(spark, str(tmp_path / "table"))
+    with monkeypatch.context() as m:
+        m.setattr(book, "write", lambda rows: (other.compact(), write(rows))[1])
+        with pytest.raises(FileExistsError):
+            book.compact()
+    assert held() == ["a0", "a1", "a2"] and book.entries() == {} and book.base()["number"] == 2
+    book.clean()
+    assert held() == ["a0", "a1", "a2"] and len(os.listdir(tmp_path / "table" / "data")) == 1
+
+
 def test_degrade_files_equal_the_rows(spark, tmp_path):
     uuid = "123e4567-e89b-12d3-a456-426614174000"
     rows = [(t, at, i, f"{t} line {i} é") for t in (uuid, "plain/../id", None) for at in (5, 6) for i in range(30)] + [(uuid, 7, 1, None), (uuid, 8, 1, "x" * 500), (uuid, 8, 2, "y")]
