@@ -71,6 +71,12 @@ def throughput(df: DataFrame) -> DataFrame:
     )
 
 
+def quotient(above: Column, below: Column) -> Column:
+    """above / below of doubles as SQL has it, by IEEE 754: by zero it is infinite, and NaN if above is zero too."""
+    above, below = above.cast("double"), below.cast("double")
+    return F.when(below == 0, above * F.pow(below, F.lit(-1.0))).otherwise(above / below)
+
+
 def valid_series(df: DataFrame, value: str, allow_zero: bool = False) -> DataFrame:
     return df.filter(F.col(value) >= 0 if allow_zero else F.col(value) > 0)
 
@@ -109,7 +115,7 @@ def ratio_series(df: DataFrame, run: str, scenario: str, value: str, above: str,
 def compare_baseline(now: DataFrame, base: DataFrame, key: str, value: str, tolerance: float = 15.0, higher_is_slower: bool = True) -> DataFrame:
     """Change in percent and SLOWER, FASTER, OK, NEW or REMOVED, over the union of keys."""
     both = now.select(key, F.col(value).alias("current")).join(base.select(key, F.col(value).alias("baseline")), key, "full_outer")
-    change = (F.col("current") - F.col("baseline")) / F.col("baseline") * 100
+    change = quotient(F.col("current") - F.col("baseline"), F.col("baseline")) * 100
     worse = change if higher_is_slower else -change
     verdict = F.when(F.col("baseline").isNull(), "NEW").when(F.col("current").isNull(), "REMOVED").when(worse > tolerance, "SLOWER").when(worse < -tolerance, "FASTER").otherwise("OK")
     return both.select(key, "current", "baseline", change.alias("change"), verdict.alias("verdict"))
@@ -132,8 +138,9 @@ def gate(measured: DataFrame, baseline: DataFrame, key: str, value: str, multipl
 
 
 def percent_delta(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    before = F.lag(value).over(W.partitionBy(*keys).orderBy(order))
-    return df.withColumn("delta", (F.col(value) - before) / before * 100)
+    """Change in percent from the value before, keys without an order last; from 0 it is infinite, and NaN if the value stays 0."""
+    df = df.withColumn("__before", F.lag(value).over(W.partitionBy(*keys).orderBy(F.asc_nulls_last(order))))
+    return df.withColumn("delta", quotient(F.col(value) - F.col("__before"), F.col("__before")) * 100).drop("__before")
 
 
 def matrix(df: DataFrame, keys: Sequence[str], status: str) -> DataFrame:
