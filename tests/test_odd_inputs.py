@@ -25,14 +25,20 @@ def both(spark, folder, name, events):
     return sorted(repr([norm(r[c]) for c in columns]) for r in df.collect()), sorted(repr([norm(r[i]) for i in at]) for r in cur.fetchall())
 
 
-EVENTS = """SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 7 MINUTE * i AS ts, i % 5 AS user_id, ['view', 'click', 'error', 'purchase'][1 + i % 4] AS event_type, {value} AS value, '{{"k": 1}}' AS props
+EVENTS = """SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * ({at}) AS ts, i % 5 AS user_id, ['view', 'click', 'error', 'purchase'][1 + i % 4] AS event_type, {value} AS value, '{{"k": 1}}' AS props
   FROM range({n}) t(i)"""
 
 
 @pytest.mark.parametrize("name", ["met_percent_delta", "met_baseline_compare"])
 def test_change_from_zero_is_that_of_sql(spark, tmp_path, name):
     value = "CASE WHEN i % 20 IN (5, 10, 2) THEN 0.0 WHEN i % 20 = 3 THEN '-0.0'::DOUBLE WHEN i = 44 THEN NULL WHEN i = 49 THEN 'nan'::DOUBLE ELSE (i * 37 % 11) - 5.0 END::DOUBLE"
-    mine, want = both(spark, tmp_path, name, EVENTS.format(value=value, n=200))
+    mine, want = both(spark, tmp_path, name, EVENTS.format(value=value, n=200, at='420 * i'))
     assert mine == want
     if name == "met_percent_delta":
         assert {x for x in ("inf,", "-inf,", "NaN") if any(x in r for r in mine)} == {"inf,", "-inf,", "NaN"}
+
+
+def test_alerts_beside_nulls_are_those_of_sql(spark, tmp_path):
+    events = f"SELECT * REPLACE (CASE WHEN event_id % 100 <> 7 THEN ts END AS ts) FROM ({EVENTS.format(value='1.0', n=2000, at='285 * i + i * i * 7919 % 7200')})"
+    mine, want = both(spark, tmp_path, "met_alert_rules", events)
+    assert mine and mine == want
