@@ -2,15 +2,20 @@
 
 Tasks write into a folder of the job's own; the driver moves all files to their names when every task has ended, and deletes
 the folder when the job fails, so that readers see whole files or none. Paths may lie on any file system that pyarrow opens.
+A task notes its files in a list beside them, and the driver reads these lists piece by piece: it never holds all names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +26,15 @@ from .sinks import UUID
 
 FORMAT = "cedarlog_degraded"
 ROWS = "file string, line string, size bigint"
+#: Files that are moved between two looks at a list, and bytes that are read at once.
+MOVES, PIECE = 10_000, 1 << 20
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Files of one task: (name in the job's folder, final name)."""
+    """The folder of one task, beside which lies the list of its files: a JSON line (place, file) for each."""
 
-    files: list[tuple[str, str]]
+    own: str
 
 
 def _store(path: str):
@@ -35,10 +42,11 @@ def _store(path: str):
 
 
 class Writer(DataSourceWriter):
-    """Rows come sorted by file. A file that would exceed ``most`` bytes goes on in another one, numbered .1, .2 and so on."""
+    """Rows come sorted by file. A file that would exceed ``most`` bytes goes on in another one, numbered .1, .2 and so on.
+    ``names``: a folder that gets the tasks' lists when all files are in their places, or nothing."""
 
-    def __init__(self, path: str, most: int):
-        self.path, self.most, self.job = path.rstrip("/"), most, uuid.uuid4().hex
+    def __init__(self, path: str, most: int, names: str):
+        self.path, self.most, self.names, self.job = path.rstrip("/"), most, names.rstrip("/"), uuid.uuid4().hex
 
     @property
     def temporary(self) -> str:
@@ -46,9 +54,17 @@ class Writer(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         store, root = _store(self.temporary)
-        own = f"{root}/{uuid.uuid4().hex}"  # of this attempt, so that a second one of the task cannot mix with it
-        store.create_dir(own, recursive=False)  # fails once the job is given up and its folder is gone
-        files, name, size, part, out = [], None, 0, 0, None
+        own = uuid.uuid4().hex  # of this attempt, so that a second one of the task cannot mix with it
+        store.create_dir(f"{root}/{own}", recursive=False)  # fails once the job is given up and its folder is gone
+        name, size, part, count, place, out = None, 0, 0, 0, None, None
+        names = store.open_output_stream(f"{root}/{own}.json")
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                if store.type_name == "local":
+                    os.chmod(place, 0o600)
+
         try:
             for row in iterator:
                 data = (row.line or "").encode("utf-8", "replace") + b"\n"
@@ -59,31 +75,41 @@ class Writer(DataSourceWriter):
                     fresh = bool(self.most > 0 and size and size + len(data) > self.most)
                     part += fresh
                 if fresh:
-                    if out is not None:
-                        out.close()
-                    final = f"{name}.{part}.log" if part else f"{name}.log"
-                    place = f"{own}/{uuid.uuid4().hex}"
+                    end()
+                    place, count = f"{root}/{own}/{count}", count + 1
                     out, size = store.open_output_stream(place), 0
-                    files.append((place, final))
+                    names.write(json.dumps({"place": place, "file": f"{name}.{part}.log" if part else f"{name}.log"}).encode() + b"\n")
                 out.write(data)
                 size += len(data)
-            if out is not None:
-                out.close()
+            end()
+            names.close()
         except BaseException:
             if out is not None:
                 out.close()
-            if store.get_file_info(own).type != fs.FileType.NotFound:
-                store.delete_dir(own)
+            names.close()
+            if store.get_file_info(f"{root}/{own}").type != fs.FileType.NotFound:
+                store.delete_dir(f"{root}/{own}")
             raise
-        return Written(files)
+        return Written(own)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _store(self.path)
-        for message in messages:
-            for place, final in message.files if message else ():
-                store.move(place, f"{root}/{final}")
-                if store.type_name == "local":
-                    os.chmod(f"{root}/{final}", 0o600)
+        local = store.type_name == "local"
+        put = os.replace if local else store.move
+        move = lambda line: put((x := json.loads(line))["place"], f"{root}/{x['file']}")
+        lists = [f"{_store(self.temporary)[1]}/{m.own}.json" for m in messages if m]
+        with ThreadPoolExecutor(8) as pool:
+            for one in lists:
+                with store.open_input_stream(one) as stream:
+                    lines = _lines(stream)
+                    while some := list(islice(lines, MOVES)):
+                        for _ in map(move, some) if local else pool.map(move, some):
+                            pass
+        if self.names:
+            kept, folder = _store(self.names)
+            kept.create_dir(folder, recursive=True)
+            for one in lists:
+                fs.copy_files(one, f"{folder}/{one.rsplit('/', 1)[1]}", source_filesystem=store, destination_filesystem=kept)
         self._drop()
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -95,8 +121,15 @@ class Writer(DataSourceWriter):
             store.delete_dir(root)
 
 
+def _lines(stream) -> Iterator[bytes]:
+    rest = b""
+    while piece := stream.read(PIECE):
+        *whole, rest = (rest + piece).split(b"\n")
+        yield from whole
+
+
 class DegradedFiles(DataSource):
-    """Options: path, and bytes (most of a file, 0 for no limit)."""
+    """Options: path, bytes (most of a file, 0 for no limit) and names (a folder for the lists of files)."""
 
     @classmethod
     def name(cls) -> str:
@@ -108,7 +141,7 @@ class DegradedFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         if overwrite:
             raise ValueError("degrade files are only added")
-        writer = Writer(self.options["path"], int(self.options.get("bytes", 0)))
+        writer = Writer(self.options["path"], int(self.options.get("bytes", 0)), self.options.get("names", ""))
         store, root = _store(writer.temporary)
         store.create_dir(root, recursive=True)
         return writer
@@ -120,13 +153,39 @@ def file_of(trace: str = "trace_id", at_ms: str = "ts_ms"):
     return F.concat(safe, F.lit("_"), F.coalesce(F.col(at_ms).cast("string"), F.lit("0")))
 
 
-def write_degraded(records: DataFrame, path: str, most_bytes: int = 0, line: str = "content", order: str = "seq") -> None:
+def write_degraded(records: DataFrame, path: str, most_bytes: int = 0, line: str = "content", order: str = "seq", names: str = "") -> None:
     """Lines of ``records`` to files under ``path``, in order; only ever all of them or none.
 
     A null line is an empty one; a single line above ``most_bytes`` is a file of its own; an empty table adds no file; a file
     of the same name from an earlier call is replaced, so a call that is repeated changes nothing. Records of one trace
-    and time are written by one task, line by line, without being held."""
+    and time are written by one task, line by line, without being held. ``names``: see ``read_degraded``."""
     spark: SparkSession = records.sparkSession
     spark.dataSource.register(DegradedFiles)
     rows = records.select(file_of().alias("file"), F.col(line).cast("string").alias("line"), F.col(order).cast("long").alias("size"))
-    rows.repartition("file").sortWithinPartitions("file", "size").write.format(FORMAT).mode("append").option("path", path).option("bytes", most_bytes).save()
+    write = rows.repartition("file").sortWithinPartitions("file", "size").write.format(FORMAT).mode("append")
+    write.option("path", path).option("bytes", most_bytes).option("names", names).save()
+
+
+def _measure(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = _store(path)
+        for batch in batches:
+            out = []
+            for name in batch["file"]:
+                size = lines = 0
+                with store.open_input_stream(f"{root}/{name}") as stream:
+                    while piece := stream.read(PIECE):
+                        size, lines = size + len(piece), lines + piece.count(b"\n")
+                out.append((name, size, lines))
+            yield pd.DataFrame(out, columns=["file", "size", "lines"])
+
+    return run
+
+
+def read_degraded(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """(file, size, lines) of the files under ``path`` that the lists in ``names`` hold, from their bytes.
+
+    There are about as many files as records, more than a driver can list: tasks take the names from the lists that
+    ``write_degraded`` left, and read the files by pieces."""
+    files = spark.read.schema("file string").json(names).repartition(4 * spark.sparkContext.defaultParallelism)
+    return files.mapInPandas(_measure(path.rstrip("/")), "file string, size long, lines long")

@@ -2,9 +2,11 @@
 
 import glob
 import os
+import pickle
 import shutil
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cedarlog.functions import layout
@@ -223,3 +225,24 @@ def test_default_layout_and_validation_lines(spark):
     got = logfiles.parse(df).collect()
     assert [(r["parsed"], r["level"], r["content"], r["ts_ms"]) for r in got[:2]] == [(True, "WARN", "hello", 1706745600123), (False, None, None, None)] and not got[5]["parsed"]
     assert tuple(logfiles.validations(df).first()) == (2, 1)
+
+
+def test_names_of_degrade_files_do_not_go_through_the_driver(spark, tmp_path):
+    """A task's message is as long for many files as for one, and files are read back from the tasks' lists."""
+    path, names = str(tmp_path / "files"), str(tmp_path / "names")
+    os.makedirs(path)
+    sizes = []
+    for n in (1, 3000):
+        writer = degraded.Writer(path, 0, "")
+        os.makedirs(writer.temporary)
+        message = writer.write(iter([Row(file=f"f{n}-{i}", line="x", size=0) for i in range(n)]))
+        sizes.append(len(pickle.dumps(message)))
+        writer.commit([message, None])
+    assert sizes[0] == sizes[1] and len(os.listdir(path)) == 3001
+    df = spark.range(4000).selectExpr("concat('t', id % 700) AS trace_id", "id % 2 AS ts_ms", "id AS seq", "concat('é', id) AS content").repartition(5)
+    degraded.write_degraded(df, path, names=names)
+    got = {r["file"]: (r["size"], r["lines"]) for r in degraded.read_degraded(spark, path, names).collect()}
+    assert got == {r["file"]: (r["size"], r["lines"]) for r in sinks.degrade_files(df).collect()} and len(got) == 700
+    assert all(os.path.getsize(f"{path}/{f}") == size for f, (size, _) in got.items())
+    degraded.write_degraded(df.limit(0), str(tmp_path / "none"), names=f"{names}-none")
+    assert degraded.read_degraded(spark, str(tmp_path / "none"), f"{names}-none").count() == 0
