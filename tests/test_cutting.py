@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,22 @@ def test_batches_by_time_have_the_size_of_the_joined_content(spark):
     df = spark.createDataFrame(rows, "trace_id string, seq long, line string, level string, ts_ms long, batch_id long").withColumn("bytes", F.lit(1))
     r = batching.finalise(df, by_time=True).first()
     assert r["total_bytes"] == 56 + -(-2 * 12 // 8) * 8 and (r["first_time"].microsecond, r["last_time"].microsecond) == (4000, 9000)
+
+
+def test_a_task_holds_few_rows_and_strings():
+    """Groups of three rows, and one longer than a chunk, come whole, in frames of about a chunk, with few string objects."""
+    names = [f"trace-{i // 3}" for i in range(300_000)] + ["trace-long"] * 200_000 + [None] * 5
+    rows = pd.DataFrame({"key": names, "part": 0, "at": np.arange(len(names)), "size": 1, "version": "1"})
+
+    def batches():
+        for i in range(0, len(rows), 10_000):
+            b = rows.iloc[i : i + 10_000]
+            yield b.assign(key=[None if k is None else "".join([k]) + "" for k in b["key"]], version=["".join(["v", str(j % 1)]) for j in range(len(b))])
+
+    frames = list(cutting._whole_groups(batches()))
+    assert sum(map(len, frames)) == len(rows) and np.array_equal(np.concatenate([f["at"] for f in frames]), rows["at"])
+    for f, g in zip(frames[:-1], frames[1:], strict=True):
+        assert f["key"].iloc[-1] != g["key"].iloc[0]
+    assert max(map(len, frames[:-1])) <= 230_000 and len(frames) >= 3
+    assert len({id(v) for f in frames for v in f["version"]}) <= 60
+    assert sum(k is None for k in frames[-1]["key"]) == 5
