@@ -1,6 +1,7 @@
 """Batches from parallel cut points against the fold that defines them, record by record."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -178,3 +179,28 @@ def test_a_task_holds_few_rows_and_strings():
     assert max(map(len, frames[:-1])) <= 230_000 and len(frames) >= 3
     assert len({id(v) for f in frames for v in f["version"]}) <= 60
     assert sum(k is None for k in frames[-1]["key"]) == 5
+
+
+@pytest.mark.parametrize("work", [cutting._mark_whole, cutting._summarize, cutting._mark_ranges])
+def test_memory_of_a_task_does_not_grow_with_its_groups(work):
+    """A task lets a group and its paths go before it reads the next one, and rows of a group share their strings."""
+    size = 200_000
+    make = work(batching.pipeline_limits(50, 1200))
+
+    def peak(groups):
+        def batches():
+            for i in range(0, groups * size, 10_000):
+                at = np.arange(i, i + 10_000)
+                text = ["".join(["v", str(1)]) for _ in at]  # a string of its own for each row, as from Arrow
+                yield pd.DataFrame({"key": f"hot-{i // size}", "part": 0, "at": at, "size": at % 50, "version": text, "batch_id": 3, "open_n": 1, "open_size": 10, "open_version": list(text), "last_batch": 9})
+
+        tracemalloc.start()
+        done = sum(1 for _ in make(batches()))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert done >= 1
+        return most
+
+    peak(1)
+    one, four = peak(1), peak(4)
+    assert four < 1.25 * one and four < 300 * size, (one, four)
