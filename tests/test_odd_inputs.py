@@ -42,3 +42,12 @@ def test_alerts_beside_nulls_are_those_of_sql(spark, tmp_path):
     events = f"SELECT * REPLACE (CASE WHEN event_id % 100 <> 7 THEN ts END AS ts) FROM ({EVENTS.format(value='1.0', n=2000, at='285 * i + i * i * 7919 % 7200')})"
     mine, want = both(spark, tmp_path, "met_alert_rules", events)
     assert mine and mine == want
+
+
+def test_alerts_close_to_the_hour_are_those_of_sql(spark, tmp_path):
+    """Times of microseconds up to a millisecond from an hour, before and after 1970: SQL takes the nearest millisecond."""
+    micros = "CASE WHEN event_id % 3 = 0 THEN [-1000, -501, -500, -499, -1, 0, 1, 499, 500, 501, 999][1 + event_id % 11] ELSE -1000000 * (event_id % 23) END"
+    at = f"TIMESTAMP '1969-12-31' + INTERVAL 1 HOUR * (event_id // 23) + INTERVAL 1 MICROSECOND * ({micros})"
+    events = f"SELECT * REPLACE ({at} AS ts) FROM ({EVENTS.format(value='1.0', n=2000, at='i')})"
+    mine, want = both(spark, tmp_path, "met_alert_rules", events)
+    assert mine and mine == want
