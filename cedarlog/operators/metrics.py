@@ -77,6 +77,14 @@ def quotient(above: Column, below: Column) -> Column:
     return F.when(below == 0, above * F.pow(below, F.lit(-1.0))).otherwise(above / below)
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double as SQL rounds it: what it is times 10^digits, to the nearest whole number, halves away from zero. Spark's own round
+    goes by the decimal digits of the value itself, which differs where that product falls on a half, or beside one."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    scaled = value * 10.0**digits
+    return F.when(F.abs(scaled) == float("inf"), value).otherwise(F.signum(value) * F.round(F.abs(scaled)) / 10.0**digits)
+
+
 def valid_series(df: DataFrame, value: str, allow_zero: bool = False) -> DataFrame:
     return df.filter(F.col(value) >= 0 if allow_zero else F.col(value) > 0)
 

@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from cedarlog.operators import metrics
+
 duckdb = pytest.importorskip("duckdb")
 
 
@@ -51,3 +53,21 @@ def test_alerts_close_to_the_hour_are_those_of_sql(spark, tmp_path):
     events = f"SELECT * REPLACE ({at} AS ts) FROM ({EVENTS.format(value='1.0', n=2000, at='i')})"
     mine, want = both(spark, tmp_path, "met_alert_rules", events)
     assert mine and mine == want
+
+
+@pytest.mark.parametrize("name", ["met_percent_delta", "met_first_last", "met_throughput", "met_ratio_series", "met_timers"])
+def test_numbers_halfway_are_rounded_as_those_of_sql(spark, tmp_path, name):
+    """Cents by 32, 160 and so on make quotients that end in a half at the last digit kept, or close to one in binary."""
+    value = "CASE WHEN i % 10 < 5 THEN [0.32, 1.6, 16.0, 160.0, 3.2][1 + i % 5] ELSE (i * 7919 % 56021) / 100.0 END::DOUBLE"
+    mine, want = both(spark, tmp_path, name, EVENTS.format(value=value, n=40000, at='i'))
+    assert mine and mine == want
+
+
+def test_rounding_is_that_of_sql(spark):
+    values = [1.00005, 2.675, -62.54375, 62.54375, -2.5e-5, 0.49999999999999994e-4, 0.5e-4, 8.518982e176, 1.7e308, -1e-9, -0.0, 0.0, math.inf, -math.inf, math.nan, None, *(i / 160 for i in range(-400, 400)), *((i - 5603) / 5603 * 100 for i in range(0, 56000, 7))]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", *(metrics.rounded("x", d).alias(f"r{d}") for d in (2, 4, 6)))
+    rows = {r["i"]: [r["r2"], r["r4"], r["r6"]] for r in df.collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    assert {r[0]: repr(list(r[1:])) for r in con.execute("SELECT i, round(x, 2), round(x, 4), round(x, 6) FROM t").fetchall()} == {i: repr(r) for i, r in rows.items()}
