@@ -3,13 +3,16 @@
 Tasks write into a folder of the job's own; the driver moves all files to their names when every task has ended, and deletes
 the folder when the job fails, so that readers see whole files or none. Paths may lie on any file system that pyarrow opens.
 A task notes its files in a list beside them, and the driver reads these lists piece by piece: it never holds all names.
+One folder takes no more names than its file system's index (about 7 million of these on ext4), so files can be dealt over folders.
 """
 
 from __future__ import annotations
 
+import errno
 import json
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -32,7 +35,7 @@ MOVES, PIECE = 10_000, 1 << 20
 
 @dataclass
 class Written(WriterCommitMessage):
-    """The folder of one task, beside which lies the list of its files: a JSON line (place, file) for each."""
+    """The folder of one task, beside which lies the list of its files: a JSON line for each."""
 
     own: str
 
@@ -43,10 +46,11 @@ def _store(path: str):
 
 class Writer(DataSourceWriter):
     """Rows come sorted by file. A file that would exceed ``most`` bytes goes on in another one, numbered .1, .2 and so on.
-    ``names``: a folder that gets the tasks' lists when all files are in their places, or nothing."""
+    ``names``: a folder that gets the tasks' lists when all files are in their places, or nothing. ``folders``: how many
+    folders the files are dealt over, or 0; then rows come sorted by folder and file."""
 
-    def __init__(self, path: str, most: int, names: str):
-        self.path, self.most, self.names, self.job = path.rstrip("/"), most, names.rstrip("/"), uuid.uuid4().hex
+    def __init__(self, path: str, most: int, names: str, folders: int = 0):
+        self.path, self.most, self.names, self.folders, self.job = path.rstrip("/"), most, names.rstrip("/"), folders, uuid.uuid4().hex
 
     @property
     def temporary(self) -> str:
@@ -56,8 +60,8 @@ class Writer(DataSourceWriter):
         store, root = _store(self.temporary)
         own = uuid.uuid4().hex  # of this attempt, so that a second one of the task cannot mix with it
         store.create_dir(f"{root}/{own}", recursive=False)  # fails once the job is given up and its folder is gone
-        name, size, part, count, place, out = None, 0, 0, 0, None, None
-        names = store.open_output_stream(f"{root}/{own}.json")
+        name, size, part, folder, place, out = None, 0, 0, "", None, None
+        names = store.open_output_stream(self._list(root, own), compression="gzip")
 
         def end() -> None:
             if out is not None:
@@ -71,14 +75,18 @@ class Writer(DataSourceWriter):
                 if row.file != name:
                     name, part, size = row.file, 0, 0
                     fresh = True
+                    if self.folders and folder != (to := f"{zlib.crc32(name.encode()) % self.folders:03x}/"):
+                        folder = to
+                        store.create_dir(f"{root}/{own}/{folder}", recursive=False)
                 else:
                     fresh = bool(self.most > 0 and size and size + len(data) > self.most)
                     part += fresh
                 if fresh:
                     end()
-                    place, count = f"{root}/{own}/{count}", count + 1
+                    file = f"{folder}{name}.{part}.log" if part else f"{folder}{name}.log"
+                    place = f"{root}/{own}/{file}"
                     out, size = store.open_output_stream(place), 0
-                    names.write(json.dumps({"place": place, "file": f"{name}.{part}.log" if part else f"{name}.log"}).encode() + b"\n")
+                    names.write(json.dumps({"file": file}).encode() + b"\n")
                 out.write(data)
                 size += len(data)
             end()
@@ -92,26 +100,40 @@ class Writer(DataSourceWriter):
             raise
         return Written(own)
 
+    @staticmethod
+    def _list(root: str, own: str) -> str:
+        return f"{root}/{own}.json.gz"
+
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _store(self.path)
-        local = store.type_name == "local"
-        put = os.replace if local else store.move
-        move = lambda line: put((x := json.loads(line))["place"], f"{root}/{x['file']}")
-        lists = [f"{_store(self.temporary)[1]}/{m.own}.json" for m in messages if m]
+        temporary, done = _store(self.temporary)[1], [m.own for m in messages if m]
         with ThreadPoolExecutor(8) as pool:
-            for one in lists:
-                with store.open_input_stream(one) as stream:
-                    lines = _lines(stream)
-                    while some := list(islice(lines, MOVES)):
-                        for _ in map(move, some) if local else pool.map(move, some):
-                            pass
+            for own in done:
+                if self.folders and store.type_name == "local":
+                    _move_folders(f"{temporary}/{own}", root)
+                else:
+                    self._move_files(store, own, temporary, root, pool)
         if self.names:
             kept, folder = _store(self.names)
             kept.create_dir(folder, recursive=True)
-            for one in lists:
-                fs.copy_files(one, f"{folder}/{one.rsplit('/', 1)[1]}", source_filesystem=store, destination_filesystem=kept)
+            for own in done:
+                fs.copy_files(self._list(temporary, own), self._list(folder, own), source_filesystem=store, destination_filesystem=kept)
         self._drop()
 
+    def _move_files(self, store, own: str, temporary: str, root: str, pool: ThreadPoolExecutor) -> None:
+        local, last = store.type_name == "local", ""
+        put = os.replace if local else store.move
+        move = lambda file: put(f"{temporary}/{own}/{file}", f"{root}/{file}")
+        with store.open_input_stream(self._list(temporary, own), compression="gzip") as stream:
+            files = (json.loads(line)["file"] for line in _lines(stream))
+            while some := list(islice(files, MOVES)):
+                for folder in dict.fromkeys(os.path.dirname(x) for x in some):
+                    if folder != last:
+                        store.create_dir(f"{root}/{folder}", recursive=True)
+                        last = folder
+                for _ in map(move, some) if local else pool.map(move, some):
+                    pass
+
     def abort(self, messages: list[Written | None]) -> None:
         self._drop()
 
@@ -121,6 +143,18 @@ class Writer(DataSourceWriter):
             store.delete_dir(root)
 
 
+def _move_folders(source: str, target: str) -> None:
+    """A folder that is not there yet moves whole; into others, files move one by one."""
+    for folder in os.listdir(source):
+        try:
+            os.rename(f"{source}/{folder}", f"{target}/{folder}")
+        except OSError as e:
+            if e.errno not in (errno.ENOTEMPTY, errno.EEXIST):
+                raise
+            for file in os.listdir(f"{source}/{folder}"):
+                os.replace(f"{source}/{folder}/{file}", f"{target}/{folder}/{file}")
+
+
 def _lines(stream) -> Iterator[bytes]:
     rest = b""
     while piece := stream.read(PIECE):
@@ -129,7 +163,7 @@ def _lines(stream) -> Iterator[bytes]:
 
 
 class DegradedFiles(DataSource):
-    """Options: path, bytes (most of a file, 0 for no limit) and names (a folder for the lists of files)."""
+    """Options: path, bytes (most of a file, 0 for no limit), names (a folder for the lists of files) and folders (0: none)."""
 
     @classmethod
     def name(cls) -> str:
@@ -141,7 +175,7 @@ class DegradedFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         if overwrite:
             raise ValueError("degrade files are only added")
-        writer = Writer(self.options["path"], int(self.options.get("bytes", 0)), self.options.get("names", ""))
+        writer = Writer(self.options["path"], int(self.options.get("bytes", 0)), self.options.get("names", ""), int(self.options.get("folders", 0)))
         store, root = _store(writer.temporary)
         store.create_dir(root, recursive=True)
         return writer
@@ -153,17 +187,19 @@ def file_of(trace: str = "trace_id", at_ms: str = "ts_ms"):
     return F.concat(safe, F.lit("_"), F.coalesce(F.col(at_ms).cast("string"), F.lit("0")))
 
 
-def write_degraded(records: DataFrame, path: str, most_bytes: int = 0, line: str = "content", order: str = "seq", names: str = "") -> None:
+def write_degraded(records: DataFrame, path: str, most_bytes: int = 0, line: str = "content", order: str = "seq", names: str = "", folders: int = 0) -> None:
     """Lines of ``records`` to files under ``path``, in order; only ever all of them or none.
 
     A null line is an empty one; a single line above ``most_bytes`` is a file of its own; an empty table adds no file; a file
     of the same name from an earlier call is replaced, so a call that is repeated changes nothing. Records of one trace
-    and time are written by one task, line by line, without being held. ``names``: see ``read_degraded``."""
+    and time are written by one task, line by line, without being held. ``names``: see ``read_degraded``. ``folders``: files lie
+    in so many folders under ``path``, by the CRC-32 of their names; one folder alone is full at some million files."""
     spark: SparkSession = records.sparkSession
     spark.dataSource.register(DegradedFiles)
     rows = records.select(file_of().alias("file"), F.col(line).cast("string").alias("line"), F.col(order).cast("long").alias("size"))
-    write = rows.repartition("file").sortWithinPartitions("file", "size").write.format(FORMAT).mode("append")
-    write.option("path", path).option("bytes", most_bytes).option("names", names).save()
+    by = [F.crc32("file") % folders] if folders else []
+    write = rows.repartition(*(by or ["file"])).sortWithinPartitions(*by, "file", "size").write.format(FORMAT).mode("append")
+    write.option("path", path).option("bytes", most_bytes).option("names", names).option("folders", folders).save()
 
 
 def _measure(path: str):
@@ -176,7 +212,7 @@ def _measure(path: str):
                 with store.open_input_stream(f"{root}/{name}") as stream:
                     while piece := stream.read(PIECE):
                         size, lines = size + len(piece), lines + piece.count(b"\n")
-                out.append((name, size, lines))
+                out.append((name.rsplit("/", 1)[-1], size, lines))
             yield pd.DataFrame(out, columns=["file", "size", "lines"])
 
     return run

@@ -4,6 +4,7 @@ import glob
 import os
 import pickle
 import shutil
+import uuid
 
 import pytest
 from pyspark.sql import Row
@@ -246,3 +247,33 @@ def test_names_of_degrade_files_do_not_go_through_the_driver(spark, tmp_path):
     assert all(os.path.getsize(f"{path}/{f}") == size for f, (size, _) in got.items())
     degraded.write_degraded(df.limit(0), str(tmp_path / "none"), names=f"{names}-none")
     assert degraded.read_degraded(spark, str(tmp_path / "none"), f"{names}-none").count() == 0
+
+
+def test_degrade_files_are_dealt_over_folders(spark, tmp_path):
+    """No folder grows with all files; a call that is repeated, or brings some more, replaces files of the same name and keeps the others."""
+    path, names = str(tmp_path / "files"), str(tmp_path / "names")
+    df = spark.range(3000).selectExpr("concat('t', id % 900) AS trace_id", "id % 2 AS ts_ms", "id AS seq", "concat('é', id) AS content").repartition(5)
+    want = {r["file"]: (r["size"], r["lines"]) for r in sinks.degrade_files(df).collect()}
+    for part in (df.filter("ts_ms = 0"), df, df):
+        degraded.write_degraded(part, path, names=f"{names}-{uuid.uuid4().hex}", folders=16)
+    degraded.write_degraded(df, path, names=names, folders=16)
+    assert sorted(os.listdir(path)) == [f"{n:03x}" for n in range(16)]
+    held = {f: os.path.getsize(f"{path}/{d}/{f}") for d in os.listdir(path) for f in os.listdir(f"{path}/{d}")}
+    assert held == {f: size for f, (size, _) in want.items()} and max(len(os.listdir(f"{path}/{d}")) for d in os.listdir(path)) < len(held) / 4
+    read = degraded.read_degraded(spark, path, names).collect()
+    assert {r["file"]: (r["size"], r["lines"]) for r in read} == want and len(read) == len(want)
+    # where folders cannot be moved whole, files are
+    writer = degraded.Writer(path, 0, "", 16)
+    os.makedirs(writer.temporary)
+    message = writer.write(iter([Row(file="zz", line="x", size=0)]))
+    writer._move_files(degraded.fs.LocalFileSystem(), message.own, writer.temporary, str(tmp_path / "moved"), None)
+    assert glob.glob(f"{tmp_path}/moved/*/zz.log")
+    # the registered query deals its files too
+    from cedarlog.plans import registry
+
+    source, shared = str(tmp_path / "tables"), registry.shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{shared}/degraded-*"))
+    spark.sql("SELECT id AS event_id, timestamp_micros(id * 1000000)::timestamp_ntz AS ts, id % 50 AS user_id, 'error' AS event_type, 1.0D AS value, '{}' AS props FROM range(3000)").write.parquet(f"{source}/events.parquet")
+    assert registry.QUERIES["snk_written_files"](spark, source).count() == 3000
+    (made,) = (x for x in set(glob.glob(f"{shared}/degraded-*")) - before if not x.endswith("-names"))
+    assert len(os.listdir(made)) > 500 and not glob.glob(f"{made}/*.log")
